@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SPILLED: list[tuple[SparkSession, str]] = []
+_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,12 +36,38 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _SPILLED.append((spark, path))
+    schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    free_shuffles(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Write df as a table of the warehouse in buckets of column, so that joins on it don't move df again."""
+    spark = df.sparkSession
+    table_name = f"probeline_{name}_{uuid.uuid4().hex}"
+    _TABLES.append((spark, table_name))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").bucketBy(buckets, column).saveAsTable(table_name)
+    del df
+    free_shuffles(spark)
+    return spark.table(table_name)
 
 
 @atexit.register
 def _drop_spilled() -> None:
+    for spark, name in _TABLES:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:
+            return
     for spark, path in _SPILLED:
         try:
             jvm = spark.sparkContext._jvm

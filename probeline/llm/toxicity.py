@@ -19,6 +19,9 @@ FEATURES = 400
 #: Weight of the squared change of score under a swap, against the mean log loss.
 SWAP_PENALTY = 1.0
 
+#: Weight of the squared weights.
+RIDGE = 1e-5
+
 #: Names of groups in neutral use, in English, German, French and Spanish, each line one set to swap within.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("women", "men", "girls", "boys", "woman", "man", "girl", "boy", "female", "male"),
@@ -88,42 +91,43 @@ def swapped_sentences(text: str, terms: tuple[tuple[str, ...], ...] = IDENTITY_T
 def _select(bags: list[set[str]], labels: np.ndarray, most: int) -> list[str]:
     """Features that tell the labels apart, one after the other.
 
-    Each next one covers most of the toxic texts that none before covers, net
-    of clean texts (which weigh by how much rarer toxic ones are); ties go to
-    the longer beginning.  So a word that only keeps company with a toxic word
-    isn't taken, however often.
+    Each next one has the greatest weight of toxic texts, net of clean texts;
+    a toxic text's weight halves with each feature taken that it has, so a word
+    that only keeps company with toxic words isn't taken, however often.  What
+    begins like a feature taken, or is its beginning, is passed over.  Ties go
+    to the longer beginning.  A feature must stand in so many toxic texts
+    that none of the candidates would do so by chance.
     """
     where: dict[str, list[int]] = {}
     positive = np.flatnonzero(labels == 1)
     count = Counter(t for i in positive for t in bags[i])
-    least = 2 if len(positive) < 100 else 3
-    frequent = {t for t, n in count.items() if n >= least}
-    clean = Counter(t for i in np.flatnonzero(labels == 0) for t in bags[i] if t in frequent)
-    rate = max(len(positive), 1) / max(int((labels == 0).sum()), 1)
-    # those whose odds are at least even are worth a look
-    kept = {t for t in frequent if count[t] >= 5 * clean[t] * rate and count[t] > clean[t]}
+    clean = Counter(t for i in np.flatnonzero(labels == 0) for t in bags[i] if count[t] >= 2)
+    rate = len(positive) / len(labels)
+    # a text is toxic by chance at `rate`; hence the surprise of n toxic texts and no clean one
+    least = max(3.0, np.log(max(sum(n >= 3 for n in count.values()), 1)) / -np.log(rate))
+    kept = {t for t, n in count.items() if n - 2 * clean[t] >= least}
     for i in positive:
         for t in bags[i] & kept:
             where.setdefault(t, []).append(int(i))
-    open_, out = set(positive.tolist()), []
-    gain = dict.fromkeys(where, 0)
-    for t, at in where.items():
-        gain[t] = len(at)
+    weight = dict.fromkeys(positive.tolist(), 1.0)
+    gain = {t: float(len(at)) for t, at in where.items()}
+    out: list[str] = []
     while len(out) < most and gain:
-        best = max(gain, key=lambda t: (gain[t] - 2 * clean[t], -clean[t], len(t) if t[0] == "^" else 0, t))
-        if gain[best] - 2 * clean[best] < least:
+        best = max(gain, key=lambda t: (gain[t] - 2 * clean[t], len(t) if t[0] == "^" else 0, t))
+        if gain.pop(best) - 2 * clean[best] < least / 2:
             break
         out.append(best)
-        for i in set(where[best]) & open_:
-            open_.discard(i)
-            for t in bags[i] & kept:
-                gain[t] -= 1
-        gain = {t: n for t, n in gain.items() if n > 0}
+        for t in [t for t in gain if t[1:].startswith(best[1:]) or best[1:].startswith(t[1:])]:
+            del gain[t]
+        for i in where[best]:
+            weight[i] /= 2
+            for t in bags[i] & gain.keys():
+                gain[t] -= weight[i]
     return out
 
 
 def fit(
-    texts: list[str], labels: list[int], terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = SWAP_PENALTY, most: int = FEATURES, steps: int = 400
+    texts: list[str], labels: list[int], terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = SWAP_PENALTY, most: int = FEATURES, steps: int = 100
 ) -> ToxicityModel:
     """Logistic regression on selected features and on all identity terms.
 
@@ -139,7 +143,7 @@ def fit(
         return ToxicityModel({}, float(np.log(share / (1 - share))))
     bags = [text_terms(t) for t in texts]
     names = _select(bags, y, most)
-    identity = sorted({f for group in terms for t in group for f in _terms_of(t)} - set(names))
+    identity = sorted({"=" + t for group in terms for t in group} - set(names))
     seen = Counter(f for b in bags for f in b & set(identity))
     names += [f for f in identity if seen[f]]
     at = {t: i for i, t in enumerate(names)}
@@ -158,15 +162,20 @@ def fit(
         d[i, list(new)] = 1
     weight = np.array([*change.values()], float) / max(sum(change.values()), 1)
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    w, b = np.zeros(len(names)), 0.0
-    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40)))
-        r = (p - y) * balance / len(y)
-        grad = np.append(x.T @ r + 1e-4 * w + 2 * penalty * (d.T @ (weight * (d @ w))), r.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-        w, b = w - move[:-1], b - move[-1]
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(float)
+    d = np.hstack([d, np.zeros((len(d), 1), np.float32)]).astype(float)
+    ridge = np.append(np.full(len(names), RIDGE), 1500 * RIDGE)  # a bias nearer 0: one clear feature tells
+    swaps = 2 * penalty * (d.T * weight) @ d
+    w = np.zeros(len(names) + 1)
+    for _ in range(steps):  # Newton's method; the loss is convex
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        grad = x.T @ ((p - y) * balance / len(y)) + ridge * w + swaps @ w
+        curve = (x.T * (p * (1 - p) * balance / len(y))) @ x + np.diag(ridge) + swaps
+        move = np.linalg.solve(curve, grad)
+        w -= move * min(1.0, 4 / max(np.abs(move).max(), 1e-12))
+        if np.abs(move).max() < 1e-6:
+            break
+    w, b = w[:-1], w[-1]
     return ToxicityModel({t: float(w[i]) for t, i in at.items()}, float(b))
 
 
