@@ -12,8 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from probeline.llm.common import spill
+
 #: Labelled rows that a model is fitted on, at most (the first in the order of a hash of the id).
 SAMPLE_ROWS = 8000
+#: Terms that may become features, at most (those of the most toxic texts, net of clean ones).
+CANDIDATES = 20_000
 #: Features that a model has, at most.
 FEATURES = 400
 #: Weight of the squared change of score under a swap, against the mean log loss.
@@ -88,28 +92,49 @@ def swapped_sentences(text: str, terms: tuple[tuple[str, ...], ...] = IDENTITY_T
                     yield sentence, re.sub(rf"\b{re.escape(named)}\b", other, sentence)
 
 
-def _select(bags: list[set[str]], labels: np.ndarray, most: int) -> list[str]:
+@dataclass
+class _Example:
+    """What fitting needs of a labelled text: its candidate features, and those that swaps take and give."""
+
+    label: int
+    terms: set[str]
+    swaps: list[tuple[set[str], set[str]]]
+
+
+def _identity(terms: tuple[tuple[str, ...], ...]) -> set[str]:
+    return {"=" + t for group in terms for t in group}
+
+
+def _example(text: str, label: int, kept: set[str], terms: tuple[tuple[str, ...], ...]) -> _Example:
+    swaps = []
+    for before, after in swapped_sentences(text, terms):
+        a, b = text_terms(before) & kept, text_terms(after) & kept
+        if a != b:
+            swaps.append((a - b, b - a))
+    return _Example(label, text_terms(text) & kept, swaps)
+
+
+def _least(n_toxic: int, n_all: int, frequent: int) -> float:
+    """Toxic texts (net of clean ones) that a feature needs, so that of `frequent` candidates none has them by chance."""
+    rate = max(n_toxic, 1) / max(n_all, 1)
+    return max(3.0, np.log(max(frequent, 1)) / -np.log(min(rate, 0.9)))
+
+
+def _select(examples: list[_Example], clean: dict[str, int], least: float, most: int) -> list[str]:
     """Features that tell the labels apart, one after the other.
 
     Each next one has the greatest weight of toxic texts, net of clean texts;
     a toxic text's weight halves with each feature taken that it has, so a word
     that only keeps company with toxic words isn't taken, however often.  What
     begins like a feature taken, or is its beginning, is passed over.  Ties go
-    to the longer beginning.  A feature must stand in so many toxic texts
-    that none of the candidates would do so by chance.
+    to the longer beginning.
     """
     where: dict[str, list[int]] = {}
-    positive = np.flatnonzero(labels == 1)
-    count = Counter(t for i in positive for t in bags[i])
-    clean = Counter(t for i in np.flatnonzero(labels == 0) for t in bags[i] if count[t] >= 2)
-    rate = len(positive) / len(labels)
-    # a text is toxic by chance at `rate`; hence the surprise of n toxic texts and no clean one
-    least = max(3.0, np.log(max(sum(n >= 3 for n in count.values()), 1)) / -np.log(rate))
-    kept = {t for t, n in count.items() if n - 2 * clean[t] >= least}
-    for i in positive:
-        for t in bags[i] & kept:
-            where.setdefault(t, []).append(int(i))
-    weight = dict.fromkeys(positive.tolist(), 1.0)
+    for i, e in enumerate(examples):
+        if e.label:
+            for t in e.terms & clean.keys():
+                where.setdefault(t, []).append(i)
+    weight = dict.fromkeys((i for i, e in enumerate(examples) if e.label), 1.0)
     gain = {t: float(len(at)) for t, at in where.items()}
     out: list[str] = []
     while len(out) < most and gain:
@@ -121,73 +146,84 @@ def _select(bags: list[set[str]], labels: np.ndarray, most: int) -> list[str]:
             del gain[t]
         for i in where[best]:
             weight[i] /= 2
-            for t in bags[i] & gain.keys():
+            for t in examples[i].terms & gain.keys():
                 gain[t] -= weight[i]
     return out
 
 
-def fit(
-    texts: list[str], labels: list[int], terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = SWAP_PENALTY, most: int = FEATURES, steps: int = 100
-) -> ToxicityModel:
-    """Logistic regression on selected features and on all identity terms.
-
-    The loss is the mean log loss over the texts, a small ridge, and `penalty`
-    times the mean squared change of the score's logit when a sentence's
-    identity term is swapped for another one: a term that only co-occurs with
-    toxic texts keeps no weight of its own.  Without labelled rows, or with one
-    label only, every text scores the share of toxic ones.
-    """
-    y = np.array(labels, float)
+def _fit(examples: list[_Example], clean: dict[str, int], least: float, identity: set[str], penalty: float, most: int, steps: int = 100) -> ToxicityModel:
+    y = np.array([e.label for e in examples], float)
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
         return ToxicityModel({}, float(np.log(share / (1 - share))))
-    bags = [text_terms(t) for t in texts]
-    names = _select(bags, y, most)
-    identity = sorted({"=" + t for group in terms for t in group} - set(names))
-    seen = Counter(f for b in bags for f in b & set(identity))
-    names += [f for f in identity if seen[f]]
+    names = _select(examples, clean, least, most)
+    names += sorted({t for e in examples for t in e.terms & identity} - set(names))
     at = {t: i for i, t in enumerate(names)}
-    x = np.zeros((len(bags), len(names)), np.float32)
-    for i, b in enumerate(bags):
-        x[i, [at[t] for t in b & at.keys()]] = 1
-    change: dict[tuple, int] = Counter()
-    for t in texts:
-        for before, after in swapped_sentences(t, terms):
-            a, b = text_terms(before) & at.keys(), text_terms(after) & at.keys()
-            if a != b:
-                change[(tuple(sorted(at[k] for k in a - b)), tuple(sorted(at[k] for k in b - a)))] += 1
-    d = np.zeros((len(change), len(names)), np.float32)
+    x = np.zeros((len(examples), len(names) + 1))
+    x[:, -1] = 1
+    change: Counter = Counter()
+    for i, e in enumerate(examples):
+        x[i, [at[t] for t in e.terms & at.keys()]] = 1
+        for gone, new in e.swaps:
+            change[(tuple(sorted(at[t] for t in gone & at.keys())), tuple(sorted(at[t] for t in new & at.keys())))] += 1
+    d = np.zeros((len(change), len(names) + 1))
     for i, (gone, new) in enumerate(change):
         d[i, list(gone)] = -1
         d[i, list(new)] = 1
     weight = np.array([*change.values()], float) / max(sum(change.values()), 1)
-    balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(float)
-    d = np.hstack([d, np.zeros((len(d), 1), np.float32)]).astype(float)
+    balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     ridge = np.append(np.full(len(names), RIDGE), 1500 * RIDGE)  # a bias nearer 0: one clear feature tells
     swaps = 2 * penalty * (d.T * weight) @ d
     w = np.zeros(len(names) + 1)
     for _ in range(steps):  # Newton's method; the loss is convex
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        grad = x.T @ ((p - y) * balance / len(y)) + ridge * w + swaps @ w
-        curve = (x.T * (p * (1 - p) * balance / len(y))) @ x + np.diag(ridge) + swaps
+        grad = x.T @ ((p - y) * balance) + ridge * w + swaps @ w
+        curve = (x.T * (p * (1 - p) * balance)) @ x + np.diag(ridge) + swaps
         move = np.linalg.solve(curve, grad)
         w -= move * min(1.0, 4 / max(np.abs(move).max(), 1e-12))
         if np.abs(move).max() < 1e-6:
             break
-    w, b = w[:-1], w[-1]
-    return ToxicityModel({t: float(w[i]) for t, i in at.items()}, float(b))
+    return ToxicityModel({t: float(w[i]) for t, i in at.items()}, float(w[-1]))
+
+
+def fit(texts: list[str], labels: list[int], terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = SWAP_PENALTY, most: int = FEATURES) -> ToxicityModel:
+    """Logistic regression on selected features and on the identity terms that occur.
+
+    The loss is the mean log loss (both labels weighing the same), a small
+    ridge, and `penalty` times the mean squared change of the score's logit
+    when a sentence's identity term is swapped for another one: a term that
+    only co-occurs with toxic texts keeps no weight of its own.  Without
+    labelled texts, or with one label only, every text scores the share of
+    toxic ones.
+    """
+    counts = [Counter(), Counter()]
+    for text, label in zip(texts, labels, strict=True):
+        counts[label].update(text_terms(text))
+    least = _least(sum(labels), len(labels), sum(n >= 3 for n in counts[1].values()))
+    clean = {t: counts[0][t] for t, n in counts[1].items() if n - 2 * counts[0][t] >= least}
+    kept = clean.keys() | _identity(terms)
+    return _fit([_example(x, y, kept, terms) for x, y in zip(texts, labels, strict=True)], clean, least, _identity(terms), penalty, most)
+
+
+def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        counts: Counter = Counter()
+        for text, label in zip(pdf["text"], pdf["label"], strict=True):
+            counts.update((t, label) for t in text_terms(text))
+        yield pd.DataFrame([(t, n if label else 0, 0 if label else n) for (t, label), n in counts.items()], columns=["term", "toxic", "clean"])
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options
+    docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample_rows: int = SAMPLE_ROWS, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS,
+    penalty: float = SWAP_PENALTY, most: int = FEATURES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> ToxicityModel:
-    """Fits a model on labelled documents, `sample_rows` of them at most (the first by a hash of the id).
+    """`fit` on labelled documents, `sample_rows` of them at most (the first by a hash of the id).
 
     `usable` is a condition on labels' rows.  The ids are chosen from the
-    labels alone, so only the chosen texts are moved.  Rows with a null id,
-    label or text are passed over; equal texts count once, as the label most
-    of them have.
+    labels alone, so only the chosen texts are moved; their terms are counted
+    by the executors, and only those that may become features (CANDIDATES at
+    most) reach the driver.  Rows with a null id, label or text are passed
+    over; equal texts count once, as the label most of them have.
     """
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     rows = rows if usable is None else rows.where(usable)
@@ -195,10 +231,24 @@ def train(
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     # at most sample_rows ids and labels: a proven bound
-    sample = texts.join(F.broadcast(chosen), "id").select("text", "label").toPandas()
-    votes = sample.groupby("text")["label"].mean()
-    votes = votes.sort_index()
-    return fit([*votes.index], [int(x >= 0.5) for x in votes], **options)
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("text").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
+    sample = spill(sample, "toxicity-sample").repartition(16)
+    n_all, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    counts = spill(sample.mapInPandas(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-terms")
+    least = _least(n_toxic, n_all, counts.where("toxic >= 3").count())
+    worth = counts.where(F.col("toxic") - 2 * F.col("clean") >= least).orderBy(F.desc(F.col("toxic") - 2 * F.col("clean")), "term").limit(CANDIDATES)
+    clean = {r.term: r.clean for r in worth.collect()}
+    kept = set(clean) | _identity(terms)
+    shared = docs.sparkSession.sparkContext.broadcast(kept)
+
+    def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [_example(t, y, shared.value, terms) for t, y in zip(pdf["text"], pdf["label"], strict=True)]
+            yield pd.DataFrame({"label": pdf["label"].to_numpy(), "terms": [sorted(e.terms) for e in own], "swaps": [[[sorted(a), sorted(b)] for a, b in e.swaps] for e in own]})
+
+    found = sample.mapInPandas(examples, "label int, terms array<string>, swaps array<array<array<string>>>").collect()
+    ordered = sorted(found, key=lambda r: (r.label, r.terms, r.swaps))
+    return _fit([_Example(r.label, set(r.terms), [(set(a), set(b)) for a, b in r.swaps]) for r in ordered], clean, least, _identity(terms), penalty, most)
 
 
 def _scorer(shared) -> Callable:
