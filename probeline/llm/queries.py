@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probeline.llm import ann, chat, contamination, line_dedup, ngram_join, packing, sharding, toxicity
+from probeline.llm import ann, chat, contamination, lattice_lm, line_dedup, ngram_join, packing, sharding, toxicity
 from probeline.llm.common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,11 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+# ------------------------------------------------------------------ 3
+
+
+@_query
+def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(table(spark, sf_dir, "documents"), bucket_of("doc_id", 7) != 2, tokenizer_path())
