@@ -11,7 +11,6 @@ coordinate that gives all vectors the same length.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ DIRECTIONS = 8
 #: Probability with which a closer vector would have been met when a search stops.
 CONFIDENCE = 0.99
 #: Vectors in a leaf of the tree.
-LEAF = 64
+LEAF = 256
 #: Vectors in a block that one tree indexes, about; queries in a block that searches it.
 BLOCK, QUERY_BLOCK = 20_000, 2_000
 
@@ -66,6 +65,7 @@ class KdTree:
         self.span: list[tuple[int, int]] = []
         if len(points):
             self._build(0, len(points), leaf)
+        self.finish()
 
     def _build(self, a: int, b: int, leaf: int) -> int:
         own = self.points[self.order[a:b]]
@@ -81,21 +81,21 @@ class KdTree:
             self.sides[node] = (self._build(a, a + mid, leaf), self._build(a + mid, b, leaf))
         return node
 
-    def outwards(self, query: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
-        """Leaves with the squared distance of their boxes from the query, nearest first."""
-        if not self.sides:
+    def finish(self) -> None:
+        """Keeps the leaves only: a block is small enough to order all of its leaves by distance at once."""
+        leaves = [i for i, x in enumerate(self.sides) if x is None]
+        self.leaf_low = np.array([self.low[i] for i in leaves])
+        self.leaf_high = np.array([self.high[i] for i in leaves])
+        self.leaf_span = [self.span[i] for i in leaves]
+
+    def outwards(self, query: np.ndarray) -> Iterator[tuple[float, int, int]]:
+        """(squared distance of its box from the query, first and end in self.order) of each leaf, nearest first."""
+        if not self.leaf_span:
             return
-        heap = [(0.0, 0)]
-        while heap:
-            far, node = heapq.heappop(heap)
-            sides = self.sides[node]
-            if sides is None:
-                a, b = self.span[node]
-                yield far, self.order[a:b]
-                continue
-            for side in sides:
-                gap = np.maximum(np.maximum(self.low[side] - query, query - self.high[side]), 0)
-                heapq.heappush(heap, (float(gap @ gap), side))
+        gap = np.maximum(np.maximum(self.leaf_low - query, query - self.leaf_high), 0)
+        far = (gap * gap).sum(axis=1)
+        for i in np.argsort(far, kind="stable").tolist():
+            yield float(far[i]), *self.leaf_span[i]
 
 
 def directions(dims: int, count: int = DIRECTIONS, seed: int = 20260101) -> np.ndarray:
@@ -124,26 +124,36 @@ def _search(k: int, longest: float, confidence: float, count: int):
         rest = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0))
         points = vectors @ project[:-1] + rest[:, None] * project[-1]
         tree = KdTree(points)
+        vectors, ids = vectors[tree.order], ids[tree.order]
         limit = chi_square_point(confidence, count)
-        base = longest**2
+        base, slack = longest**2, 1e-9 * longest**2
         out = []
         for q, query_id in zip(queries, query_ids, strict=True):
             # a query as long as the longest vector has 0 as its further coordinate; that changes no order
             norm = math.sqrt(float(q @ q))
-            scaled = q * (longest / norm)
-            best_scores = np.zeros(0)
-            best_ids = np.zeros(0, np.int64)
-            for far, leaf in tree.outwards(scaled @ project[:-1]):
-                if len(best_scores) == k:
-                    kth = max(2 * base - 2 * best_scores[-1] * (longest / norm), 0.0)
-                    if far > limit * kth + 1e-9 * base:
-                        break
-                own = leaf[ids[leaf] != query_id]
-                best_scores = np.concatenate([best_scores, inner_products(vectors[own], q)])
-                best_ids = np.concatenate([best_ids, ids[own]])
-                first = np.lexsort((best_ids, -best_scores))[:k]
-                best_scores, best_ids = best_scores[first], best_ids[first]
-            out.append(pd.DataFrame({"query_id": query_id, "vec_id": best_ids, "score": best_scores}))
+            scale = longest / norm
+            rows = np.zeros(0, np.int64)
+            scores = np.zeros(0)
+            kth, stop = -math.inf, math.inf
+            for far, a, b in tree.outwards(q @ project[:-1] * scale):
+                if far > stop:
+                    break
+                near = vectors[a:b] @ q
+                new = np.flatnonzero(near >= kth - slack)
+                if not len(new):
+                    continue
+                rows, scores = np.concatenate([rows, a + new]), np.concatenate([scores, near[new]])
+                others = scores[ids[rows] != query_id]
+                if len(others) >= k:
+                    kth = float(np.partition(others, len(others) - k)[len(others) - k])
+                    stop = limit * max(2 * base - 2 * kth * scale, 0.0) + slack
+                    if len(rows) > 4 * k:
+                        keep = scores >= kth - slack
+                        rows, scores = rows[keep], scores[keep]
+            rows = rows[ids[rows] != query_id]
+            exact = inner_products(vectors[rows], q)
+            first = np.lexsort((ids[rows], -exact))[:k]
+            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[rows][first], "score": exact[first]}))
         return pd.concat(out, ignore_index=True)[columns]
 
     return search
