@@ -267,7 +267,7 @@ def _gather(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("gather_hashed", _gather, f"""
-SELECT CAST(sum(p_size) AS BIGINT) AS total, count(*) AS n FROM (SELECT CAST(h % (SELECT CAST(1 AS BIGINT) << (length(bin(count(*))) - 1) FROM part) AS BIGINT) AS pos FROM ({_finaliser('k', 64, S._MIX64)}))
+SELECT CAST(sum(p_size) AS BIGINT) AS total, count(*) AS n FROM (SELECT CAST(h % (SELECT CAST(CAST(1 AS BIGINT) << (length(bin(count(*))) - 1) AS UHUGEINT) FROM part) AS BIGINT) AS pos FROM ({_finaliser('k', 64, S._MIX64)}))
 JOIN (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_size FROM part) USING (pos)""")
 _add("gather_by_position", lambda s, d: joins.hash_join(q14.join_entries(s, d).select("part_pos", "summand"), with_positions(relation(s, d, "part").select("p_partkey", "p_type"), "p_partkey", "part_pos"), "part_pos").select("p_type", "summand"),
      f"SELECT p_type, {SUMMAND} AS summand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE {MONTH}")

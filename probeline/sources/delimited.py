@@ -24,7 +24,7 @@ def read_tbl(spark: SparkSession, path: str, schema: T.StructType, mode: str = "
     if mode == "PERMISSIVE":
         full = full.add(CORRUPT, T.StringType())
     reader = spark.read.schema(full).option("sep", "|").option("mode", mode).option("dateFormat", "yyyy-MM-dd")
-    return reader.option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", "true").csv(path).drop(TAIL)
+    return reader.option("columnPruning", "false").option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", "true").csv(path).drop(TAIL)
 
 
 def load_database(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
