@@ -18,7 +18,8 @@ def read_tbl(spark: SparkSession, path: str, schema: T.StructType, mode: str = "
 
     FAILFAST stops at a malformed line, DROPMALFORMED passes it over and
     PERMISSIVE keeps it, whole, in the column `_corrupt`; no row is ever
-    dropped in silence.  A missing last newline or last delimiter is fine.
+    dropped in silence.  A missing last newline or last delimiter is fine.  With
+    DROPMALFORMED a bare count(), which reads no column, sees short lines only.
     """
     full = T.StructType([*schema.fields, T.StructField(TAIL, T.StringType())])
     if mode == "PERMISSIVE":
