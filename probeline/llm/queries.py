@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probeline.llm import ann, chat, contamination, lattice_lm, line_dedup, ngram_join, packing, sharding, suffix_dedup, toxicity
+from probeline.llm import ann, chat, contamination, lattice_lm, line_dedup, ngram_join, oracles, packing, sharding, suffix_dedup, toxicity
 from probeline.llm.common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,6 @@ def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES.update(oracles.ORACLES)
