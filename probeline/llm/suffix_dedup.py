@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probeline.llm.common import spill
-from probeline.llm.wordcore import buffer_of, mix, slices
+from probeline.llm.wordcore import _BASE, _INVERSE, _power, buffer_of, mix, slices
 
 #: Bytes of a k-gram; a window of `length` bytes has length - K + 1 of them.
 K = 16
 #: Bytes of queue entries that a sort holds in memory; more go to disk.
 QUEUE_BYTES = 64 << 20
 #: Bytes of text in one suffix sort, about; a shard is sorted in groups of whole minimisers.
-SORT_BYTES = 8 << 20
+SORT_BYTES = 1 << 20
 
 _U = np.uint64
 
@@ -96,9 +96,8 @@ def _types(text: np.ndarray) -> np.ndarray:
     if n > 1:
         step = np.sign(text[1:].astype(np.int64) - text[:-1])
         # a run of equal symbols has the type of what follows it
-        differs = np.flatnonzero(step)
-        nxt = np.searchsorted(differs, np.arange(n - 1))
-        smaller[:-1] = step[differs[np.minimum(nxt, len(differs) - 1)]] > 0 if len(differs) else False
+        at = np.where(step != 0, np.arange(n - 1), n - 2)
+        smaller[:-1] = step[np.minimum.accumulate(at[::-1])[::-1]] > 0
     return smaller
 
 
@@ -209,47 +208,72 @@ def _differ(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return out
 
 
-def long_common(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Whether each suffix in order (but the first) has `length` symbols in common with the one before; 0 ends a string."""
-    n = len(text)
-    same = np.ones(len(order) - 1, bool)
-    open_ = np.arange(len(order) - 1)
-    for step in range(length):
-        a, b = order[open_] + step, order[open_ + 1] + step
-        inside = (a < n) & (b < n)
-        alike = np.zeros(len(open_), bool)
-        alike[inside] = (text[a[inside]] == text[b[inside]]) & (text[a[inside]] != 0)
+def long_common(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Whether the `length` bytes at each place in order (but the first) are those at the place before; all lie within data."""
+    words = np.zeros(len(data) + 8, np.uint64)
+    for i in range(8):
+        words[: len(data) - i] |= data[i:].astype(np.uint64) << np.uint64(8 * i)
+    same = np.ones(max(len(order) - 1, 0), bool)
+    open_ = np.arange(len(same))
+    for step in [*range(0, length - 7, 8), *([max(length - 8, 0)] if length % 8 else [])]:
+        alike = words[order[open_] + step] == words[order[open_ + 1] + step]
         same[open_[~alike]] = False
         open_ = open_[alike]
     return same
 
 
 def first_owners(strings: list[bytes], owners: np.ndarray, length: int, limit: int = QUEUE_BYTES) -> list[np.ndarray]:
-    """For each string and each place in it, the smallest owner of the `length` bytes there, in any of the strings."""
-    data = np.frombuffer(b"".join(strings), np.uint8)
+    """For each string and each place in it, the smallest owner of the `length` (8 at least) bytes there, in any of the strings."""
+    data = np.frombuffer(b"\0".join([*strings, b"\0"]), np.uint8)
     sizes = np.array([len(s) for s in strings])
     starts = np.r_[0, np.cumsum(sizes + 1)]
     # bytes become 2 to 257; 1 parts the strings and 0 ends the text
-    text = np.ones(starts[-1] + 1, np.int64)
-    inside = np.ones(starts[-1] + 1, bool)
-    inside[starts[1:] - 1] = False
-    inside[-1] = False
-    text[inside] = data.astype(np.int64) + 2
+    text = data[: starts[-1] + 1].astype(np.int64) + 2
+    text[starts[1:] - 1] = 1
     text[-1] = 0
-    order = suffix_array(text, limit)
-    flat = np.where(text == 1, 0, text)
-    new = np.r_[True, ~long_common(flat, order, length)]
     string = np.repeat(np.arange(len(strings)), sizes + 1)
-    string = np.r_[string, len(strings) - 1]
-    least = np.minimum.reduceat(owners[string[order]], np.flatnonzero(new))
-    result = np.empty(len(text), np.int64)
-    result[order] = least[np.cumsum(new) - 1]
+    whole = np.arange(starts[-1]) + length < starts[1:][string]
+    order = suffix_array(text, limit)
+    order = order[order < starts[-1]]
+    order = order[whole[order]]
+    result = np.zeros(starts[-1], np.int64)
+    if len(order):
+        new = np.r_[True, ~long_common(data, order, length)]
+        least = np.minimum.reduceat(owners[string[order]], np.flatnonzero(new))
+        result[order] = least[np.cumsum(new) - 1]
     return [result[a : a + max(n - length + 1, 0)] for a, n in zip(starts[:-1].tolist(), sizes.tolist(), strict=True)]
 
 
+def repeated_owners(strings: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
+    """As first_owners, but only stretches whose windows may occur elsewhere, by a hash of each window, are sorted."""
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    sizes = np.array([len(s) for s in strings])
+    starts = np.r_[0, np.cumsum(sizes)]
+    string = np.repeat(np.arange(len(strings)), np.maximum(sizes - length + 1, 0))
+    first = np.r_[0, np.cumsum(np.maximum(sizes - length + 1, 0))]
+    place = np.arange(first[-1]) - first[string] + starts[string]
+    _, inverse, count = np.unique(_window_hashes(data, place, length), return_inverse=True, return_counts=True)
+    at = np.flatnonzero(count[inverse] > 1)
+    result = owners[string].copy()
+    if len(at):
+        new = np.r_[True, (np.diff(at) > 1) | (np.diff(string[at]) > 0)]
+        begin = np.flatnonzero(new)
+        end = np.r_[begin[1:], len(at)] - 1
+        parts = [data[place[at[a]] : place[at[b]] + length].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        result[at] = np.concatenate(first_owners(parts, owners[string[at[begin]]], length))
+    return [result[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
 # -------------------------------------------------------------------- minimisers
 
 
+def _window_hashes(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the `length` bytes at each place."""
+    sums = np.zeros(len(data) + 1, _U)
+    np.cumsum((data.astype(_U) + _U(1)) * _power(_BASE, len(data)), out=sums[1:])
+    return (sums[places + length] - sums[places]) * _power(_INVERSE, len(data) + 1)[places]
+
+
 def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k-gram of the bytes; k a power of two: each step joins two halves."""
     h = mix(data.astype(_U) + _U(0x51ED270B))
@@ -356,7 +380,7 @@ _OWNERS = pa.schema([("m", pa.int64()), ("hash", pa.int64()), ("owners", pa.bina
 
 
 def _sort_shard(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(m, hash, owners): for each different string, in rows sorted by minimiser, the first owner at each of its places.
+    """(m, hash, owners): for each different string, in rows sorted by minimiser, hash and document, the first owner at each of its places.
 
     Whole minimisers gather up to SORT_BYTES and are sorted together; a
     minimiser with more strings than that is sorted on its own, with its queues
@@ -368,12 +392,13 @@ def _sort_shard(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         size = 0
 
         def out() -> pa.RecordBatch:
-            owners = np.array([x[3] for x in held], np.int64)
-            found = first_owners([x[2] for x in held], owners, length)
+            found = repeated_owners([x[2] for x in held], np.array([x[3] for x in held], np.int64), length)
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], schema=_OWNERS)
 
         for batch in batches:
             for m, h, s, doc in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if held and (m, h) == held[-1][:2]:
+                    continue  # a copy; the first one has the smallest document
                 if size > SORT_BYTES and m != held[-1][0]:
                     yield out()
                     held, size = [], 0
@@ -468,9 +493,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     originals = rows.join(copies.select("doc", "key"), ["doc", "key"], "left_anti") if copies.count() else rows
     strings = originals.join(by_doc, "doc").select("doc", "text", "key", "ms").mapInArrow(_strings(length), "m long, doc long, key long, first long, string binary")
     strings = spill(strings.withColumn("hash", F.xxhash64("string")), "strings")
-    # each different string once, with its first owner
-    once = strings.groupBy("m", "hash", "string").agg(F.min("doc").alias("doc"))
-    ordered = once.repartition("m").sortWithinPartitions("m", "hash").select("m", "hash", "string", "doc")
+    ordered = strings.select("m", "hash", "string", "doc").repartition("m").sortWithinPartitions("m", "hash", "doc")
     owners = spill(ordered.mapInArrow(_sort_shard(length), "m long, hash long, owners binary"), "owners")
     met = strings.select("m", "hash", "doc", "key", "first").join(owners, ["m", "hash"]).select("doc", "key", "first", "owners")
     spans = met.mapInArrow(_spans(length), "doc long, key long, start long, stop long")

@@ -30,15 +30,15 @@ def test_suffix_array_of_repeats(text):
 
 def test_first_owners():
     rng = random.Random(1)
-    strings = [bytes(rng.choices(b"abc", k=rng.randrange(5, 60))) for _ in range(60)]
+    strings = [bytes(rng.choices(b"ab", k=rng.randrange(5, 60))) for _ in range(60)] + [b"", b"\0" * 20, b"\0" * 9]
     owners = np.array([rng.randrange(20) for _ in strings])
     least = {}
     for s, o in zip(strings, owners.tolist(), strict=True):
-        for i in range(len(s) - 3):
-            least[s[i : i + 4]] = min(o, least.get(s[i : i + 4], o))
-    got = suffix_dedup.first_owners(strings, owners, 4)
-    for s, x in zip(strings, got, strict=True):
-        assert x.tolist() == [least[s[i : i + 4]] for i in range(len(s) - 3)]
+        for i in range(len(s) - 8):
+            least[s[i : i + 9]] = min(o, least.get(s[i : i + 9], o))
+    for found in (suffix_dedup.first_owners, suffix_dedup.repeated_owners):
+        for s, x in zip(strings, found(strings, owners, 9), strict=True):
+            assert x.tolist() == [least[s[i : i + 9]] for i in range(len(s) - 8)]
 
 
 def plain(docs, length=50):
