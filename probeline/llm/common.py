@@ -6,6 +6,7 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,16 +50,24 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
-    """Write df as a table of the warehouse in buckets of column, so that joins on it don't move df again."""
+def bucketed(df: DataFrame, name: str, column: str) -> tuple[DataFrame, Callable[[], None]]:
+    """Write df as a table of the warehouse in buckets of column, so that joins on it don't move df again.
+
+    Also returns what deletes the table once nothing needs it any more.
+    """
     spark = df.sparkSession
-    table_name = f"probeline_{name}_{uuid.uuid4().hex}"
-    _TABLES.append((spark, table_name))
+    entry = (spark, f"probeline_{name}_{uuid.uuid4().hex}")
+    _TABLES.append(entry)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("compression", "zstd").bucketBy(buckets, column).saveAsTable(table_name)
+    df.write.option("compression", "zstd").bucketBy(buckets, column).saveAsTable(entry[1])
     del df
     free_shuffles(spark)
-    return spark.table(table_name)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {entry[1]}")
+        _TABLES.remove(entry)
+
+    return spark.table(entry[1]), drop
 
 
 @atexit.register

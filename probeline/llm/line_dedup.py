@@ -10,13 +10,17 @@ match.  What meets is verified by the edit distance, computed in a band of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probeline.llm.common import bucketed, spill
 
 #: Lines within so many edits (of characters) are near.
 THRESHOLD = 2
+#: A segment that more lines have is joined under a closer condition.
+HOT = 16
 #: Shorter lines (list marks, brackets, single words) stay, however often they occur.
 MIN_CHARS = 20
 
@@ -24,7 +28,8 @@ MIN_CHARS = 20
 def segments(length: Column, threshold: int) -> list[tuple[Column, Column]]:
     """(start from 0, length) of each segment of a line; the last ones are longer by one where it doesn't divide."""
     parts = threshold + 1
-    short, longer = F.floor(length / parts).cast("int"), F.pmod(length, F.lit(parts)).cast("int")
+    longer = F.pmod(length, F.lit(parts)).cast("int")
+    short = F.call_function("div", length - longer, F.lit(parts)).cast("int")
     out = []
     for i in range(parts):
         before = F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - longer))
@@ -40,8 +45,8 @@ def _index_keys(line: Column, length: Column, threshold: int) -> list[Column]:
     return [_key(line, length, i, start, size) for i, (start, size) in enumerate(segments(length, threshold))]
 
 
-def _probe_keys(line: Column, length: Column, threshold: int) -> list[tuple[int, Column]]:
-    """(shorter by, key) of each substring that may be a segment of a line so much shorter.
+def _probe_keys(line: Column, length: Column, threshold: int) -> list[Column]:
+    """The key of each substring that may be a segment of a line as long or up to `threshold` shorter.
 
     With segment i (from 0) matched, at most i edits lie before it if it is
     the first that matches and at most threshold - i after it if it is the
@@ -52,7 +57,7 @@ def _probe_keys(line: Column, length: Column, threshold: int) -> list[tuple[int,
         partner = length - less
         for i, (start, size) in enumerate(segments(partner, threshold)):
             lo, hi = max(-i, less - (threshold - i)), min(i, less + threshold - i)
-            out += [(less, _key(line, partner, i, start + move, size)) for move in range(lo, hi + 1)]
+            out += [_key(line, partner, i, start + move, size) for move in range(lo, hi + 1)]
     return out
 
 
@@ -64,8 +69,8 @@ def _let(value: Column, body) -> Column:
 def within(a: Column, b: Column, threshold: int) -> Column:
     """Whether the texts a and b are within `threshold` edits.
 
-    What both begin and end with is cut off; the rest runs through the
-    bit-parallel recurrence over the band of diagonals.  Bit k of a word stands
+    What both begin with is cut off; the rest runs through the bit-parallel
+    recurrence over the band of diagonals, until the distance is too far.  Bit k of a word stands
     for row j - threshold + k of column j; a bit of d0 says that the cell equals
     its upper left neighbour, so the distance is the sum of the unset bits on the
     diagonal that ends in the last cell.
@@ -109,20 +114,17 @@ def within(a: Column, b: Column, threshold: int) -> Column:
 
             return _let(match, diagonal)
 
+        def unless_far(state: Column, j: Column) -> Column:
+            return F.when(state["far"] > t, state).otherwise(column(state, j))
+
         begin = F.struct(F.lit(top & ~((1 << t) - 1)).alias("vp"), F.lit(0).alias("vn"), F.abs(m - n).alias("far"))
         columns = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-        return F.when(F.abs(m - n) > t, F.lit(False)).otherwise(F.aggregate(columns, begin, column, lambda s: s["far"] <= t))
+        return F.when(F.abs(m - n) > t, F.lit(False)).otherwise(F.aggregate(columns, begin, unless_far, lambda s: s["far"] <= t))
 
     def trimmed(s: Column) -> Column:
         x, y = s["x"], s["y"]
-
-        def tail(r: Column) -> Column:
-            x, y = r["x"], r["y"]
-            return _let(common(F.reverse(x), F.reverse(y)), lambda n: _let(
-                F.struct(F.slice(x, F.lit(1), F.size(x) - n).alias("x"), F.slice(y, F.lit(1), F.size(y) - n).alias("y")), lambda z: band(z["x"], z["y"])))
-
         return _let(common(x, y), lambda n: _let(
-            F.struct(F.slice(x, n + 1, F.size(x)).alias("x"), F.slice(y, n + 1, F.size(y)).alias("y")), tail))
+            F.struct(F.slice(x, n + 1, F.size(x)).alias("x"), F.slice(y, n + 1, F.size(y)).alias("y")), lambda z: band(z["x"], z["y"])))
 
     return _let(F.struct(chars(a).alias("x"), chars(b).alias("y")), trimmed)
 
@@ -136,29 +138,65 @@ def _order(id_: Column) -> Column:
     return F.coalesce(id_.cast("long"), F.lit(-(2**63)).cast("long"))
 
 
-def distinct_lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, line, length, first) of each different line of min_chars at least; first is the (doc, no) where it occurs first."""
-    lines = docs.select(_order(F.col(id_col)).alias("doc"), F.posexplode(_lines(F.col(text_col))).alias("no", "line"))
+def distinct_lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> tuple[DataFrame, Callable[[], None]]:
+    """(id, line, length, first) of each different line of min_chars at least; first is the (doc, text, no) where it occurs first.
+
+    text is a hash of the whole text, which parts rows of one id.  Also what
+    deletes the table.
+    """
+    lines = docs.select(_order(F.col(id_col)).alias("doc"), F.xxhash64(text_col).alias("text"), F.posexplode(_lines(F.col(text_col))).alias("no", "line"))
     lines = lines.where(F.char_length("line") >= min_chars).withColumn("id", F.xxhash64("line"))
-    once = lines.groupBy("id").agg(F.any_value("line").alias("line"), F.min(F.struct("doc", "no")).alias("first"))
+    once = lines.groupBy("id").agg(F.any_value("line").alias("line"), F.min(F.struct("doc", "text", "no")).alias("first"))
     return bucketed(once.withColumn("length", F.char_length("line")), "lines", "id")
 
 
-def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, first_a, first_b): the pairs of different lines within `threshold` edits, each once."""
+def _parities(line: Column) -> Column:
+    """Two words of bits: whether each class of characters, and of pairs of neighbours, occurs an odd number of times."""
+
+    def word(parts: Column) -> Column:
+        return F.aggregate(parts, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+
+    chars = F.split(line, "")
+    pairs = F.zip_with(chars, F.slice(chars, 2, F.size(chars)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.struct(word(chars).alias("ones"), word(pairs).alias("twos"))
+
+
+def near_lines(lines: DataFrame, threshold: int, hot: int = HOT) -> DataFrame:
+    """(a, b, first_a, first_b): the pairs of different lines within `threshold` edits, each once.
+
+    A segment that more than `hot` lines have would give the square of their
+    number in pairs.  Its lines meet in a second join, whose condition lets only
+    those pairs out that `threshold` edits can explain: an edit changes two
+    characters' parities at most, and four pairs'.
+    """
     line, length = F.col("line"), F.col("length")
-    index = lines.select("id", F.explode(F.array(*_index_keys(line, length, threshold))).alias("key"))
-    probes = [F.struct(F.lit(less == 0).alias("even"), key.alias("key")) for less, key in _probe_keys(line, length, threshold)]
-    probe = lines.select(F.col("id").alias("b"), F.explode(F.array(*probes)).alias("p")).select("b", "p.even", "p.key")
-    met = probe.join(index.withColumnRenamed("id", "a"), "key").where((F.col("a") != F.col("b")) & (~F.col("even") | (F.col("a") < F.col("b"))))
-    pairs = met.select("a", "b").distinct()
+    index = lines.select(F.col("id").alias("a"), F.explode(F.array(*_index_keys(line, length, threshold))).alias("key"))
+    probe = lines.select(F.col("id").alias("b"), F.explode(F.array(*_probe_keys(line, length, threshold))).alias("key"))
+    by_key = Window.partitionBy("key")
+    counted = index.withColumn("n", F.count("*").over(by_key)).withColumn("one", F.min("a").over(by_key))
+    thin = counted.where((F.col("n") <= hot) | (F.col("a") == F.col("one"))).select("key", "a", (F.col("n") > hot).alias("hot"))
+    different = F.col("a") != F.col("b")
+    met = spill(probe.join(thin, "key").where(F.col("hot") | different).select("a", "b", "hot", F.when(F.col("hot"), F.col("key")).alias("key")), "met-lines")
+
+    # every line probes its own segments too, so the probes of a hot key hold its lines
+    hot_rows = met.where("hot").select("key", F.col("b").alias("id")).distinct()
+    # the parities of these lines alone: they cost more than the keys of all
+    hot_lines = spill(hot_rows.select("id").distinct().join(lines.select("id", "line"), "id"), "hot-lines")
+    signs = hot_lines.select("id", _parities(F.col("line")).alias("sign"))
+    signed = spill(hot_rows.join(signs, "id").select("key", "id", "sign"), "hot-signs")
+    apart = lambda side: F.bit_count(F.col(f"p.sign.{side}").bitwiseXOR(F.col(f"q.sign.{side}")))
+    like = (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (apart("ones") <= 2 * threshold) & (apart("twos") <= 4 * threshold)
+    hot_pairs = signed.alias("p").join(signed.alias("q"), like).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+
+    # lines of one length meet both ways
+    pairs = met.where(~F.col("hot")).select("a", "b").unionByName(hot_pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     one = lines.select(F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("first").alias("first_a"))
     two = lines.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("first").alias("first_b"))
     both = pairs.join(one, "a").join(two, "b")
     return both.where(within(F.col("line_a"), F.col("line_b"), threshold)).select("a", "b", "first_a", "first_b")
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Takes out each line that occurs before, or that is within `threshold` edits of one that does.
 
     Lines are what `\\n` parts.  Before: in a smaller id, or higher up in the
@@ -168,30 +206,37 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     and replaces the text by what stays, joined by `\\n`.
 
     A null text has no lines to take out and stays null; an empty one stays
-    empty; a null id is before all others.  Rows of one id are one document:
-    what is first at one line number of it stays in all of them.  Lines are
-    told apart by a 64-bit hash.  Extra columns are kept, those named like the
-    new ones replaced; an empty table gives no rows.
+    empty; a null id is before all others.  Rows equal in id and text are one
+    document, whose lines stay in each of them; rows of one id and different
+    texts are in the order of a hash of the text.  Lines are told apart by a
+    64-bit hash.  Extra columns are kept, those named like the new ones
+    replaced; an empty table gives no rows.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_near")]
-    lines = distinct_lines(docs, min_chars, id_col, text_col)
-    links = spill(near_lines(lines, threshold), "near-lines")
+    lines, drop = distinct_lines(docs, min_chars, id_col, text_col)
+    links = spill(near_lines(lines, threshold, hot), "near-lines")
     later = links.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
     marked = lines.select("id", "first").join(later.withColumn("near", F.lit(True)), "id", "left")
-    firsts = marked.select(F.col("first.doc").alias("_doc"), F.struct(F.col("first.no").alias("no"), "id", F.coalesce("near", F.lit(False)).alias("near")).alias("line"))
-    # as many as the document's own lines
-    kept = firsts.groupBy("_doc").agg(F.collect_list("line").alias("_first"))
-    joined = docs.select(*own).withColumn("_doc", _order(F.col(id_col))).join(kept, "_doc", "left")
-    here = F.map_from_entries(F.transform(F.array_distinct(F.col("_first")), lambda x: F.struct(F.struct(x["no"], x["id"]), x["near"])))
-    numbered = F.transform(_lines(F.col(text_col)), lambda line, no: F.struct(line.alias("line"), no.alias("no"), (F.char_length(line) < min_chars).alias("short")))
-    judged = F.transform(numbered, lambda s: F.struct(
-        s["line"].alias("line"), s["short"].alias("short"), F.try_element_at(F.col("_here"), F.struct(s["no"].alias("no"), F.xxhash64(s["line"]).alias("id"))).alias("near")))
-    stays = lambda s: s["short"] | F.coalesce(~s["near"], F.lit(False))
-    out = joined.withColumn("_here", here).withColumn("_judged", judged)
+    # where lines are first, 63 line numbers in a word of bits
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("first.no"), F.lit(63)))
+    words = marked.groupBy(F.col("first.doc").alias("_doc"), F.col("first.text").alias("_text"), F.floor(F.col("first.no") / 63).cast("int").alias("at")).agg(
+        F.bit_or(F.when(F.col("near").isNull(), bit).otherwise(F.lit(0).cast("long"))).alias("stay"), F.bit_or(F.when(F.col("near"), bit).otherwise(F.lit(0).cast("long"))).alias("near")
+    )
+    firsts = spill(words.groupBy("_doc", "_text").agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("stay", "near")))).alias("_first")), "first-lines")
+    drop()
+    joined = docs.select(*own).withColumn("_doc", _order(F.col(id_col))).withColumn("_text", F.xxhash64(text_col)).join(firsts, ["_doc", "_text"], "left")
+
+    def judged(line: Column, no: Column) -> Column:
+        bits = F.try_element_at(F.col("_first"), F.floor(no / 63).cast("int"))
+        has = lambda side: F.coalesce(F.call_function("shiftright", bits[side], F.pmod(no, F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
+        short = F.char_length(line) < min_chars
+        return F.struct(line.alias("line"), (short | has("stay")).alias("stays"), (~short & has("near")).alias("near"))
+
+    out = joined.withColumn("_judged", F.transform(_lines(F.col(text_col)), judged))
     return out.select(
         *[c for c in own if c != text_col],
-        F.when(F.col(text_col).isNotNull(), F.array_join(F.transform(F.filter("_judged", stays), lambda s: s["line"]), "\n")).alias(text_col),
+        F.when(F.col(text_col).isNotNull(), F.array_join(F.transform(F.filter("_judged", lambda s: s["stays"]), lambda s: s["line"]), "\n")).alias(text_col),
         F.size("_judged").cast("long").alias("n_lines"),
-        F.size(F.filter("_judged", lambda s: ~stays(s))).cast("long").alias("n_removed"),
-        F.size(F.filter("_judged", lambda s: F.coalesce(s["near"], F.lit(False)) & ~s["short"])).cast("long").alias("n_near"),
+        F.size(F.filter("_judged", lambda s: ~s["stays"])).cast("long").alias("n_removed"),
+        F.size(F.filter("_judged", lambda s: s["near"])).cast("long").alias("n_near"),
     ).select(*own, "n_lines", "n_removed", "n_near")

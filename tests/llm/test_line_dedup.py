@@ -78,7 +78,9 @@ def test_every_near_pair_meets(spark, threshold):
         text.setdefault(i, []).append(line)
     rows = [(i, "\n".join(x)) for i, x in text.items()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert result(line_dedup.dedup_lines(df, threshold, 4)) == plain(rows, threshold, 4)
+    want = plain(rows, threshold, 4)
+    for hot in (64, 1):
+        assert result(line_dedup.dedup_lines(df, threshold, 4, hot=hot)) == want
 
 
 def test_documents_against_brute_force(spark, small):
