@@ -188,7 +188,6 @@ def pack(
     Null ids and repeated rows are packed as they stand; an empty table gives
     no rows; extra columns are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, doc_tokens long, start long, length long, ids_crc32 long, class int, sequence_id long, offset long, part int" + ", ids array<int>" * keep_ids
     packed = spill(rows.mapInArrow(_pack_partition(tokenizer, capacity, end_id, keep_ids), schema), "packing")
