@@ -24,7 +24,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: larger neighbours go under the smallest of the node and its neighbours
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("m").alias("u"), "v").where(F.col("u") < F.col("v")).distinct()
-        large = spill(large, "large-star")
         # small star: the node and its smaller neighbours go under the smallest of them
         smallest = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(smallest, "v").select(F.col("m").alias("u"), F.explode(F.array("v", "u")).alias("v"))

@@ -16,19 +16,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probeline.llm.common import spill
 from probeline.llm.components import components
 from probeline.llm.wordcore import SPACE, Words, mix, slices, window_hashes
 
-#: Shingles of one task that are counted together.
-CHUNK = 6_000_000
-#: An element of at least so many sets of a chunk, and of at least this share of all sets, is frequent.
-FREQUENT_IN_CHUNK, FREQUENT_SHARE = 3, 2e-4
+#: Elements of one task's sets that are counted together; one that so many of these sets hold is frequent.
+CHUNK, FREQUENT = 3_000_000, 2
 #: Frequent elements that are broadcast, at most (12 bytes each). They only order; the result doesn't depend on them.
 FREQUENT_MOST = 1 << 20
+#: Rounds in which each list is joined around CENTRES of its sets, before what is left of it is joined in pairs.
+STARS, CENTRES = 2, 8
 #: Light sets have at most so many elements, whatever the costs.
 LIGHT_MOST = 256
 #: Cost of meeting one entry of an inverted list, in emitted keys.
@@ -67,31 +67,34 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64) if x.dtype == _U else x.astype(np.int64)
 
 
-_MEASURE = pa.schema([("kind", pa.int8()), ("doc", pa.int64()), ("n", pa.int64()), ("sid", pa.int64())])
+_MEASURE = pa.schema([("kind", pa.int8()), ("doc", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("cells", pa.binary())])
+
+
+def cells_of(elements: np.ndarray) -> bytes:
+    """How many elements of a set fall into each cell, 255 at most."""
+    return np.minimum(np.bincount((elements >> _U(40)).astype(np.int64) % CELLS, minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
 def _measure(words_in: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """kind 0: a document, its set's size and id; 1: a frequent element of a chunk (sid) and in how many sets; 2: meetings in a chunk (n) of so many entries (sid)."""
+    """kind 0: a document, its set's size, id and histogram; 1: the key of a frequent element of a chunk (sid) and how many sets hold it (n)."""
 
     def chunk(sets: list[np.ndarray]) -> pa.RecordBatch:
         every, count = np.unique(np.concatenate(sets), return_counts=True)
-        often = count >= FREQUENT_IN_CHUNK
-        meets = int((count * (count - 1))[~often].sum())
+        often = count >= FREQUENT
         k = int(often.sum())
-        return pa.RecordBatch.from_arrays(
-            [pa.array([1] * k + [2], pa.int8()), pa.nulls(k + 1, pa.int64()), pa.array([*count[often].tolist(), meets], pa.int64()), pa.array([*_signed(every[often]).tolist(), int(count.sum())], pa.int64())], schema=_MEASURE
-        )
+        keys = _signed(element_keys(every[often]))
+        return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int8()), pa.nulls(k, pa.int64()), pa.array(count[often].astype(np.int64)), pa.array(keys), pa.nulls(k, pa.binary())], schema=_MEASURE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held: dict[int, np.ndarray] = {}  # equal sets count once
         size = 0
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = shingle_sets(batch, "text", words_in)
                 ids = [set_id(x) for x in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * len(ids), pa.int8()), batch.column(batch.schema.get_field_index("doc")), pa.array([len(x) for x in sets], pa.int64()), pa.array(ids, pa.int64())], schema=_MEASURE
-                )
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([0] * len(sets), pa.int8()), batch.column(batch.schema.get_field_index("doc")), pa.array([len(x) for x in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([cells_of(x) for x in sets], pa.binary()),
+                ], schema=_MEASURE)
                 for i, x in zip(ids, sets, strict=True):
                     if len(x) and i not in held:
                         held[i] = x
@@ -105,9 +108,14 @@ def _measure(words_in: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
+def element_keys(elements: np.ndarray) -> np.ndarray:
+    """The keys of single elements, by which heavy sets meet."""
+    return mix(elements + _U(3))
+
+
 @dataclass
 class _Order:
-    """Frequent elements (sorted) and the place of each after all others."""
+    """The keys of frequent elements (sorted) and the place of each after all others."""
 
     frequent: np.ndarray
     place: np.ndarray
@@ -118,8 +126,9 @@ class _Order:
         """The first elements of a sorted set in the global order."""
         if not len(self.frequent):
             return elements[:length]
-        at = np.minimum(np.searchsorted(self.frequent, elements), len(self.frequent) - 1)
-        often = self.frequent[at] == elements
+        keys = element_keys(elements)
+        at = np.minimum(np.searchsorted(self.frequent, keys), len(self.frequent) - 1)
+        often = self.frequent[at] == keys
         rare = elements[~often]
         if len(rare) >= length:
             return rare[:length]
@@ -143,7 +152,7 @@ class _Order:
                 pair = np.sort(np.stack([first[i], first[j]]), axis=0)
                 out.append(mix(mix(pair[0]) + pair[1] * _U(0x9E3779B97F4A7C15) + _U(2)))
         if n > self.light or 100 * n >= self.percent * (self.light + 1):
-            out.append(mix(self.prefix(elements, spare + 1) + _U(3)))
+            out.append(element_keys(self.prefix(elements, spare + 1)))
         return np.concatenate(out)
 
 
@@ -172,55 +181,40 @@ def _emit(order: Broadcast, words_in: int) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
-_LISTS = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("lead", pa.int64())])
+_LISTS = _KEYS
 
 
-def _lists(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of rows sorted by key, size and set: those of keys that several sets have, with a leader.
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and set: those of keys that several sets have, each set once.
 
-    The leader is the first set of the key, or the next one that is too large
-    to link with the leader before it.  Rows stream; a list of any length is
-    never held.
+    Rows stream; a list of any length is never held.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int, int] | None = None  # (key, size, set) of the row before
-        lead: tuple[int, int] = (0, 0)
-        shown = False  # the row before is out already
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, n, sid = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
-            if last is not None:
-                new[0] = (key[0], sid[0]) != (last[0], last[2])
-            key, n, sid = key[new], n[new], sid[new]
-            if not len(key):
-                continue
-            # rows that neither the row before nor the one after shares a key with are alone; the batch's last row waits
-            alike = np.zeros(len(key) + 1, bool)
-            alike[1:-1] = key[1:] == key[:-1]
-            alike[0] = last is not None and key[0] == last[0]
-            out: list[tuple[int, int, int, int]] = []
-            if alike[0] and not shown and last is not None:
-                lead = (last[1], last[2])
-                out.append((*last, last[2]))
-            here = np.flatnonzero(alike[:-1] | alike[1:])
-            fresh = ~alike[here]
-            for k, size, s, begins in zip(key[here].tolist(), n[here].tolist(), sid[here].tolist(), fresh.tolist(), strict=True):
-                if begins or 100 * lead[0] < percent * size:
-                    lead = (size, s)
-                out.append((k, size, s, lead[1]))
-            last = (int(key[-1]), int(n[-1]), int(sid[-1]))
-            shown = bool(alike[-2])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _LISTS, strict=True)], schema=_LISTS)
-
-    return run
-
-
-_SETS = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("cells", pa.binary()), ("elements", pa.binary())])
+    last: tuple[int, int, int] | None = None  # (key, size, set) of the row before
+    shown = False  # the row before is out already
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, n, sid = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if last is not None:  # the row before goes in front, so that every row has its neighbours but the last
+            key, n, sid = np.r_[last[0], key], np.r_[np.int32(last[1]), n], np.r_[last[2], sid]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
+        key, n, sid = key[new], n[new], sid[new]
+        alike = np.zeros(len(key) + 1, bool)
+        alike[1:-1] = key[1:] == key[:-1]
+        here = alike[:-1] | alike[1:]
+        if last is not None and shown:
+            here[0] = False
+        # the last row waits only if it stands alone so far
+        last, shown = (int(key[-1]), int(n[-1]), int(sid[-1])), bool(here[-1]) or (len(key) == 1 and shown)
+        if here.any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[here]), pa.array(n[here].astype(np.int32)), pa.array(sid[here])], schema=_LISTS)
+
+
+#: Ids that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_IDS = 400_000
+
+_SETS = pa.schema([("sid", pa.int64()), ("elements", pa.binary())])
 
 
 def _sets(words_in: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -228,10 +222,7 @@ def _sets(words_in: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = shingle_sets(batch, "text", words_in)
-                cells = [np.minimum(np.bincount((x >> _U(40)).astype(np.int64) % CELLS, minlength=CELLS), 255).astype(np.uint8).tobytes() for x in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(cells, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], schema=_SETS
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], schema=_SETS)
 
     return run
 
@@ -309,62 +300,84 @@ def jaccard_links(docs: DataFrame, words_in: int = 5, percent: int = 80, id_col:
     """Links between different shingle sets, 100 * intersection >= percent * union, enough to give every component.
 
     Equal sets are one from the start.  Each list of sets that share a key is
-    first joined as a star around its leader; only pairs of one list that stay
-    in different components are then compared, so that a group of near copies
-    costs as many comparisons as it has members, not their square.
+    first joined around the CENTRES sets of most and longest lists, STARS times,
+    always against what isn't in their components yet; a set that has been a
+    centre has met all of its list.  Only pairs that are still in different
+    components are then compared, so that a group of near copies costs some
+    times as many comparisons as it has members, not their square.
     """
     spark = docs.sparkSession
     rows = docs.select(_key_of(id_col).alias("doc"), F.col(text_col).alias("text"))
-    measured = spill(rows.mapInArrow(_measure(words_in), "kind byte, doc long, n long, sid long"), "shingle-sets")
+    measured = spill(rows.mapInArrow(_measure(words_in), "kind byte, doc long, n long, sid long, cells binary"), "shingle-sets")
     documents = measured.where("kind = 0").select("doc", "n", "sid")
-    reps = spill(documents.where("n > 0").groupBy("sid").agg(F.min("doc").alias("doc"), F.min("n").alias("n")), "set-reps")
-
-    n_sets = reps.count()
-    often = (
-        measured.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).where(F.col("n") >= max(FREQUENT_IN_CHUNK, FREQUENT_SHARE * n_sets))
-        .orderBy(F.desc("n"), "sid").limit(FREQUENT_MOST).toPandas()
-    )
-    frequent = often["sid"].to_numpy(np.int64).view(_U)
+    reps = spill(measured.where("kind = 0 and n > 0").groupBy("sid").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.any_value("cells").alias("cells")), "set-reps")
+    often = spill(measured.where("kind = 1").groupBy(F.col("sid").alias("key")).agg(F.sum("n").alias("n")), "frequent-elements")
+
+    # the least count that no more than FREQUENT_MOST elements reach, by powers of 2
+    room, least = FREQUENT_MOST, FREQUENT
+    for size, elements in sorted(((r.size, r.elements) for r in often.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).agg(F.count("*").alias("elements")).collect()), reverse=True):
+        if elements > room:
+            least = 2 ** (size + 1)
+            break
+        room -= elements
+    table = often.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("key", "ascending")])
+    frequent = table["key"].to_numpy().view(_U)
     by_hash = np.argsort(frequent)
-    stats = measured.where("kind = 2").agg(F.sum("n"), F.sum("sid"), F.count("*")).first()
-    meets = (stats[0] or 0) / max(stats[1] or 1, 1) * max(stats[2], 1)
+    # how many others an entry of a list meets, on average over all entries that aren't frequent
+    entries = reps.agg(F.sum("n")).first()[0] or 1
+    meets = (often.where(F.col("n") < least).agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0) / entries
     # one row a size, LIGHT_MOST at most
     sizes = {r.n: r["count"] for r in reps.where(F.col("n") <= LIGHT_MOST).groupBy("n").count().collect()}
     light = light_boundary(sizes, 0, meets, percent)
     order = spark.sparkContext.broadcast(_Order(frequent[by_hash], (len(frequent) - np.arange(len(frequent)))[by_hash].astype(np.int32), percent, light))
 
     keys = rows.select("text").mapInArrow(_emit(order, words_in), "key long, n int, sid long")
-    sorted_keys = keys.repartition("key").sortWithinPartitions("key", "n", "sid")
-    lists = spill(sorted_keys.mapInArrow(_lists(percent), "key long, n int, sid long, lead long"), "inverted-lists")
-
-    star = spill(lists.where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct(), "star-pairs")
-    linked = _verify(rows, reps, star, words_in, percent)
-    roots = components(linked)
-
-    # what stays in one list but not in one component
-    placed = lists.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "n", "sid", F.coalesce("root", "sid").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    open_ = spill(placed.join(split, "key"), "open-lists")
-    p, q = open_.alias("p"), open_.alias("q")
-    rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.sid") < F.col("q.sid")) & (F.col("p.root") != F.col("q.root")) & (F.greatest("p.n", "q.n") * percent <= F.least("p.n", "q.n") * 100))
-    rest = rest.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")).distinct()
-    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verify(rows, reps, spill(rest.join(tested, ["a", "b"], "left_anti"), "open-pairs"), words_in, percent)
-    return JaccardJoin(documents, reps, linked.unionByName(more), light)
+    sorted_keys = keys.repartition("key").sortWithinPartitions("key", "sid")
+    lists = spill(sorted_keys.mapInArrow(_lists, "key long, n int, sid long"), "inverted-lists")
+    # the more and the longer lists a set is in, the more sets it is likely to link with
+    lengths = lists.groupBy("key").agg(F.count("*").alias("length"))
+    weights = lists.join(lengths, "key").groupBy("sid").agg(F.sum("length").alias("weight"))
+    open_ = spill(lists.join(weights, "sid").select("key", "n", "sid", "weight", F.col("sid").alias("root")), "open-lists")
+
+    compatible = lambda x, y: F.greatest(x, y) * percent <= F.least(x, y) * 100
+    links = tested = None
+    for turn in range(STARS + 1):
+        if turn < STARS:
+            # some sets of each list against all others of it that aren't in their components yet
+            ranked = open_.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "sid")))
+            ranked = spill(ranked, "ranked-lists")
+            centres = ranked.where(F.col("rank") <= CENTRES).select("key", F.struct("sid", "n", "root", "rank").alias("c"))
+            met = ranked.join(centres, "key").where((F.col("rank") > F.col("c.rank")) & (F.col("root") != F.col("c.root")) & compatible(F.col("n"), F.col("c.n")))
+            pairs = met.select(F.least("sid", "c.sid").alias("a"), F.greatest("sid", "c.sid").alias("b")).distinct()
+            rest = ranked.where(F.col("rank") > CENTRES).select("key", "n", "sid", "weight")
+        else:
+            p, q = open_.alias("p"), open_.alias("q")
+            met = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.sid") < F.col("q.sid")) & (F.col("p.root") != F.col("q.root")) & compatible(F.col("p.n"), F.col("q.n")))
+            pairs = met.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")).distinct()
+        pairs = spill(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = _verify(rows, reps, pairs, words_in, percent)
+        links = found if links is None else links.unionByName(found)
+        if turn < STARS:
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            roots = components(links).withColumnRenamed("node", "sid")
+            placed = rest.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+            split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+            open_ = spill(placed.join(split, "key", "left_semi").select("key", "n", "sid", "weight", "root"), "open-lists")
+    return JaccardJoin(documents, reps, links, light)
 
 
 def _verify(rows: DataFrame, reps: DataFrame, pairs: DataFrame, words_in: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that link: by their histograms first, then by their whole sets."""
-    sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = reps.join(sids, "sid").select("doc", "sid")
-    texts = rows.join(wanted.select("doc").distinct(), "doc", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(words_in), "sid long, n long, cells binary, elements binary").join(sids, "sid", "left_semi")
-    sets = spill(sets.dropDuplicates(["sid"]), "pair-sets")
-    brief = sets.select("sid", "n", "cells")
+    brief = reps.select("sid", "n", "cells")
     near = pairs.join(brief.toDF("a", "n_a", "cells_a"), "a").join(brief.toDF("b", "n_b", "cells_b"), "b").select("a", "b", "cells_a", "cells_b", "n_a", "n_b")
     near = spill(near.mapInArrow(_possible(percent), "a long, b long"), "possible-pairs")
-    whole = sets.select("sid", "elements")
-    both = near.join(whole.toDF("a", "elements_a"), "a").join(whole.toDF("b", "elements_b"), "b").select("a", "b", "elements_a", "elements_b")
+    sids = spill(near.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "pair-ids")
+    wanted = reps.join(sids, "sid").select("doc").distinct()
+    few = sids.count() <= BROADCAST_IDS
+    texts = rows.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi").select("text")
+    sets = texts.mapInArrow(_sets(words_in), "sid long, elements binary")
+    sets = spill(sets.join(F.broadcast(sids) if few else sids, "sid", "left_semi"), "pair-sets")
+    both = near.join(sets.toDF("a", "elements_a"), "a").join(sets.toDF("b", "elements_b"), "b").select("a", "b", "elements_a", "elements_b")
     return spill(both.mapInArrow(_linked(percent), "a long, b long"), "links")
 
 
