@@ -267,21 +267,12 @@ def repeated_owners(strings: list[bytes], owners: np.ndarray, length: int) -> li
 # -------------------------------------------------------------------- minimisers
 
 
-def _window_hashes(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """A hash of the `length` bytes at each place."""
+def _window_hashes(data: np.ndarray, places: np.ndarray | slice, length: int) -> np.ndarray:
+    """A hash of the `length` bytes at each place, or at all places of a slice."""
     sums = np.zeros(len(data) + 1, _U)
     np.cumsum((data.astype(_U) + _U(1)) * _power(_BASE, len(data)), out=sums[1:])
-    return (sums[places + length] - sums[places]) * _power(_INVERSE, len(data) + 1)[places]
-
-
-def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k-gram of the bytes; k a power of two: each step joins two halves."""
-    h = mix(data.astype(_U) + _U(0x51ED270B))
-    width = 1
-    while width < k:
-        h = mix(h[: len(h) - width] * _U(0x9E3779B97F4A7C15) + h[width:])
-        width *= 2
-    return h
+    ends = slice(places.start + length, places.stop + length) if isinstance(places, slice) else places + length
+    return (sums[ends] - sums[places]) * _power(_INVERSE, len(data) + 1)[places]
 
 
 def runs(data: np.ndarray, offs: np.ndarray, length: int, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -291,7 +282,7 @@ def runs(data: np.ndarray, offs: np.ndarray, length: int, k: int = K) -> tuple[n
     if n <= 0:
         none = np.zeros(0, np.int64)
         return none, none, none, none.view(_U)
-    grams = _gram_hashes(data, k)
+    grams = mix(_window_hashes(data, slice(0, len(data) - k + 1), k))
     # the smallest of each `window` neighbours, by doubling
     least, width = grams, 1
     while 2 * width <= window:
@@ -370,8 +361,12 @@ def _strings(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 text, first, windows, least = text[wanted], first[wanted], windows[wanted], least[wanted]
                 keys = batch.column(at("key")).to_numpy()
                 begin = offs[text] + first
-                strings = [data[a : a + n].tobytes() for a, n in zip(begin.tolist(), (windows + length - 1).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(docs[text]), pa.array(keys[text]), pa.array(first), pa.array(strings, pa.binary())], schema=_STRINGS)
+                sizes = windows + length - 1
+                ends = np.zeros(len(sizes) + 1, np.int32)
+                np.cumsum(sizes, out=ends[1:])
+                taken = data[np.repeat(begin - ends[:-1], sizes) + np.arange(ends[-1])]
+                strings = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(taken)])
+                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(docs[text]), pa.array(keys[text]), pa.array(first), strings], schema=_STRINGS)
 
     return run
 
