@@ -27,8 +27,8 @@ from probeline.llm.wordcore import SPACE, Words, mix, slices, window_hashes
 CHUNK, FREQUENT = 3_000_000, 2
 #: Frequent elements that are broadcast, at most (12 bytes each). They only order; the result doesn't depend on them.
 FREQUENT_MOST = 1 << 20
-#: Rounds in which each list is joined around CENTRES of its sets, before what is left of it is joined in pairs.
-STARS, CENTRES = 2, 8
+#: How many of its sets each list is joined around in each round, before what is left of it is joined in pairs.
+CENTRES = (1, 8, 32)
 #: Light sets have at most so many elements, whatever the costs.
 LIGHT_MOST = 256
 #: Cost of meeting one entry of an inverted list, in emitted keys.
@@ -300,8 +300,8 @@ def jaccard_links(docs: DataFrame, words_in: int = 5, percent: int = 80, id_col:
     """Links between different shingle sets, 100 * intersection >= percent * union, enough to give every component.
 
     Equal sets are one from the start.  Each list of sets that share a key is
-    first joined around the CENTRES sets of most and longest lists, STARS times,
-    always against what isn't in their components yet; a set that has been a
+    first joined around its sets of most and longest lists, CENTRES of them a
+    round, always against what isn't in their components yet; a set that has been a
     centre has met all of its list.  Only pairs that are still in different
     components are then compared, so that a group of near copies costs some
     times as many comparisons as it has members, not their square.
@@ -341,15 +341,15 @@ def jaccard_links(docs: DataFrame, words_in: int = 5, percent: int = 80, id_col:
 
     compatible = lambda x, y: F.greatest(x, y) * percent <= F.least(x, y) * 100
     links = tested = None
-    for turn in range(STARS + 1):
-        if turn < STARS:
+    for turn in range(len(CENTRES) + 1):
+        if turn < len(CENTRES):
             # some sets of each list against all others of it that aren't in their components yet
             ranked = open_.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "sid")))
             ranked = spill(ranked, "ranked-lists")
-            centres = ranked.where(F.col("rank") <= CENTRES).select("key", F.struct("sid", "n", "root", "rank").alias("c"))
+            centres = ranked.where(F.col("rank") <= CENTRES[turn]).select("key", F.struct("sid", "n", "root", "rank").alias("c"))
             met = ranked.join(centres, "key").where((F.col("rank") > F.col("c.rank")) & (F.col("root") != F.col("c.root")) & compatible(F.col("n"), F.col("c.n")))
             pairs = met.select(F.least("sid", "c.sid").alias("a"), F.greatest("sid", "c.sid").alias("b")).distinct()
-            rest = ranked.where(F.col("rank") > CENTRES).select("key", "n", "sid", "weight")
+            rest = ranked.where(F.col("rank") > CENTRES[turn]).select("key", "n", "sid", "weight")
         else:
             p, q = open_.alias("p"), open_.alias("q")
             met = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.sid") < F.col("q.sid")) & (F.col("p.root") != F.col("q.root")) & compatible(F.col("p.n"), F.col("q.n")))
@@ -357,7 +357,7 @@ def jaccard_links(docs: DataFrame, words_in: int = 5, percent: int = 80, id_col:
         pairs = spill(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = _verify(rows, reps, pairs, words_in, percent)
         links = found if links is None else links.unionByName(found)
-        if turn < STARS:
+        if turn < len(CENTRES):
             tested = pairs if tested is None else tested.unionByName(pairs)
             roots = components(links).withColumnRenamed("node", "sid")
             placed = rest.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
