@@ -21,8 +21,10 @@ from probeline.llm.common import bucketed, spill
 THRESHOLD = 2
 #: A segment that more lines have is joined under a closer condition.
 HOT = 16
-#: Shorter lines (list marks, brackets, single words) stay, however often they occur.
-MIN_CHARS = 20
+#: Shorter lines are near to no other.
+MIN_CHARS = 10 * THRESHOLD
+#: The queries take out exact copies of lines of so many characters at least, except blank ones.
+COPY_CHARS = 1
 
 
 def segments(length: Column, threshold: int) -> list[tuple[Column, Column]]:
@@ -138,14 +140,22 @@ def _order(id_: Column) -> Column:
     return F.coalesce(id_.cast("long"), F.lit(-(2**63)).cast("long"))
 
 
-def distinct_lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> tuple[DataFrame, Callable[[], None]]:
-    """(id, line, length, first) of each different line of min_chars at least; first is the (doc, text, no) where it occurs first.
+def _taken(line: Column, min_chars: int, copy_chars: int) -> Column:
+    """Whether a line may be taken out: shorter ones than min_chars, as copies only, if they aren't blank."""
+    long = F.char_length(line) >= min_chars
+    if copy_chars >= min_chars:
+        return long
+    return long | ((F.char_length(line) >= copy_chars) & line.rlike(r"(?U)\S"))
+
+
+def distinct_lines(docs: DataFrame, min_chars: int, copy_chars: int, id_col: str, text_col: str) -> tuple[DataFrame, Callable[[], None]]:
+    """(id, line, length, first) of each different line that may be taken out; first is the (doc, text, no) where it occurs first.
 
     text is a hash of the whole text, which parts rows of one id.  Also what
     deletes the table.
     """
     lines = docs.select(_order(F.col(id_col)).alias("doc"), F.xxhash64(text_col).alias("text"), F.posexplode(_lines(F.col(text_col))).alias("no", "line"))
-    lines = lines.where(F.char_length("line") >= min_chars).withColumn("id", F.xxhash64("line"))
+    lines = lines.where(_taken(F.col("line"), min_chars, copy_chars)).withColumn("id", F.xxhash64("line"))
     once = lines.groupBy("id").agg(F.any_value("line").alias("line"), F.min(F.struct("doc", "text", "no")).alias("first"))
     return bucketed(once.withColumn("length", F.char_length("line")), "lines", "id")
 
@@ -196,12 +206,15 @@ def near_lines(lines: DataFrame, threshold: int, hot: int = HOT) -> DataFrame:
     return both.where(within(F.col("line_a"), F.col("line_b"), threshold)).select("a", "b", "first_a", "first_b")
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, copy_chars: int | None = None
+) -> DataFrame:
     """Takes out each line that occurs before, or that is within `threshold` edits of one that does.
 
     Lines are what `\\n` parts.  Before: in a smaller id, or higher up in the
     same text; all is judged on the input, not on what is left.  Lines under
-    min_chars characters stay.  Adds to the columns of docs: n_lines,
+    min_chars characters are near to none; of those under copy_chars (without
+    it, under min_chars) and of short blank ones even exact copies stay.  Adds to the columns of docs: n_lines,
     n_removed, n_near (removed though they occur here first, for a near one)
     and replaces the text by what stays, joined by `\\n`.
 
@@ -213,8 +226,9 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     replaced; an empty table gives no rows.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_near")]
-    lines, drop = distinct_lines(docs, min_chars, id_col, text_col)
-    links = spill(near_lines(lines, threshold, hot), "near-lines")
+    copy_chars = min_chars if copy_chars is None else min(copy_chars, min_chars)
+    lines, drop = distinct_lines(docs, min_chars, copy_chars, id_col, text_col)
+    links = spill(near_lines(lines.where(F.col("length") >= min_chars), threshold, hot), "near-lines")
     later = links.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
     marked = lines.select("id", "first").join(later.withColumn("near", F.lit(True)), "id", "left")
     # where lines are first, 63 line numbers in a word of bits
@@ -229,8 +243,8 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     def judged(line: Column, no: Column) -> Column:
         bits = F.try_element_at(F.col("_first"), F.floor(no / 63).cast("int"))
         has = lambda side: F.coalesce(F.call_function("shiftright", bits[side], F.pmod(no, F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
-        short = F.char_length(line) < min_chars
-        return F.struct(line.alias("line"), (short | has("stay")).alias("stays"), (~short & has("near")).alias("near"))
+        taken = _taken(line, min_chars, copy_chars)
+        return F.struct(line.alias("line"), (~taken | has("stay")).alias("stays"), (taken & has("near")).alias("near"))
 
     out = joined.withColumn("_judged", F.transform(_lines(F.col(text_col)), judged))
     return out.select(

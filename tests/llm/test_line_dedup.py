@@ -109,3 +109,20 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
     again = line_dedup.dedup_lines(out)  # columns of the same names
     assert again.columns == out.columns
+
+
+def test_short_copies_go(spark):
+    rows = [(1, "Short one.\nthe same long line of text\n\n- "), (2, "Short one.\nShort two.\n\n \n- \nthe same long line of texts"), (3, "短い文です。\n\u3000\n短い文です。\n\u3000\nShort one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed, r.n_near) for r in line_dedup.dedup_lines(df, copy_chars=line_dedup.COPY_CHARS).collect()}
+    assert got == {1: (rows[0][1], 0, 0), 2: ("Short two.\n\n ", 3, 1), 3: ("短い文です。\n\u3000\n\u3000\nShort one", 1, 0)}
+
+
+def test_query_takes_short_copies_out(spark, small):
+    seen, gone = set(), {}
+    for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect():
+        for line in (r.text or "").split("\n"):
+            gone[r.doc_id] = gone.get(r.doc_id, 0) + (bool(line.strip()) and line in seen)
+            seen.add(line)
+    got = {r.doc_id: r.n_removed - r.n_near for r in queries.op1_line_dedup(spark, small).collect()}
+    assert got == gone
