@@ -33,7 +33,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document of which nothing but blanks is left goes; one that was empty
     before stays as it is.  n_chars follows the text.
     """
-    cut = line_dedup.dedup_lines(docs, copy_chars=line_dedup.COPY_CHARS)
+    cut = line_dedup.dedup_lines(docs, copy_chars=line_dedup.COPY_CHARS, words_per_edit=line_dedup.WORDS_PER_EDIT)
     emptied = (F.col("n_removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", "")) == "")
     return _measured(cut.where(~emptied), docs)
 

@@ -25,6 +25,10 @@ HOT = 16
 MIN_CHARS = 10 * THRESHOLD
 #: The queries take out exact copies of lines of so many characters at least, except blank ones.
 COPY_CHARS = 1
+#: Lines of fewer words aren't near for a replaced word.
+MIN_WORDS = 8
+#: The queries let one word be replaced, and one more for each so many words of the line from the second such stretch on.
+WORDS_PER_EDIT = 32
 
 
 def segments(length: Column, threshold: int) -> list[tuple[Column, Column]]:
@@ -206,15 +210,48 @@ def near_lines(lines: DataFrame, threshold: int, hot: int = HOT) -> DataFrame:
     return both.where(within(F.col("line_a"), F.col("line_b"), threshold)).select("a", "b", "first_a", "first_b")
 
 
+def replaced_lines(lines: DataFrame, per_edit: int) -> DataFrame:
+    """(id): the lines of which a share of the words at most is replaced in a line that occurs before.
+
+    Words are what single spaces part; a line of n has n / per_edit replaced, one
+    at least.  Cut into one part more than that, two such lines have a part in
+    common at the same place.  Only lines that share a part are compared, first
+    by signs (parities of classes of words with their places, two of which a
+    replaced word changes), and each only until one is found.
+    """
+    split = F.split("line", " ")
+    sized = lines.select("id", "first", split.alias("words")).where(F.size("words") >= MIN_WORDS)
+    sized = sized.withColumn("n", F.size("words")).withColumn("edits", F.greatest(F.lit(1), F.call_function("div", F.col("n"), F.lit(per_edit))).cast("int"))
+
+    def key(i: Column) -> Column:
+        start, end = (F.call_function("div", (i + F.lit(k)) * F.col("n"), F.col("edits") + 1).cast("int") for k in (0, 1))
+        return F.xxhash64(F.col("n"), i, F.slice("words", start + 1, end - start))
+
+    keys = sized.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.col("edits")), key)).alias("key"))
+    shared = spill(keys.withColumn("lines", F.count("*").over(Window.partitionBy("key"))).where("lines > 1").select("key", "id"), "met-words")
+
+    def flip(s: Column, x: Column) -> Column:
+        return s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int")))
+
+    sign = F.aggregate(F.transform("words", lambda w, i: F.xxhash64(i, w)), F.lit(0).cast("long"), flip)
+    met = spill(shared.join(sized, "id").select("key", "id", "first", "words", "n", "edits", sign.alias("sign")), "word-signs")
+    apart = F.bit_count(F.col("p.sign").bitwiseXOR(F.col("q.sign")))
+    replaced = F.size(F.filter(F.zip_with("p.words", "q.words", lambda x, y: x != y), lambda d: d))
+    like = (F.col("p.key") == F.col("q.key")) & (F.col("p.n") == F.col("q.n")) & (F.col("p.first") > F.col("q.first")) & (apart <= 2 * F.col("p.edits")) & (replaced <= F.col("p.edits"))
+    return met.alias("p").join(met.alias("q"), like, "left_semi").select("id").distinct()
+
+
 def dedup_lines(
-    docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, copy_chars: int | None = None
+    docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, copy_chars: int | None = None, words_per_edit: int | None = None
 ) -> DataFrame:
     """Takes out each line that occurs before, or that is within `threshold` edits of one that does.
 
     Lines are what `\\n` parts.  Before: in a smaller id, or higher up in the
     same text; all is judged on the input, not on what is left.  Lines under
     min_chars characters are near to none; of those under copy_chars (without
-    it, under min_chars) and of short blank ones even exact copies stay.  Adds to the columns of docs: n_lines,
+    it, under min_chars) and of short blank ones even exact copies stay.  With
+    words_per_edit, lines of MIN_WORDS words that differ in so few replaced ones
+    (see replaced_lines) are near too, however many characters that is.  Adds to the columns of docs: n_lines,
     n_removed, n_near (removed though they occur here first, for a near one)
     and replaces the text by what stays, joined by `\\n`.
 
@@ -228,8 +265,12 @@ def dedup_lines(
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_near")]
     copy_chars = min_chars if copy_chars is None else min(copy_chars, min_chars)
     lines, drop = distinct_lines(docs, min_chars, copy_chars, id_col, text_col)
-    links = spill(near_lines(lines.where(F.col("length") >= min_chars), threshold, hot), "near-lines")
-    later = links.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+    long = lines.where(F.col("length") >= min_chars)
+    links = spill(near_lines(long, threshold, hot), "near-lines")
+    later = links.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("id"))
+    if words_per_edit is not None:
+        later = later.unionByName(replaced_lines(long, words_per_edit))
+    later = later.distinct()
     marked = lines.select("id", "first").join(later.withColumn("near", F.lit(True)), "id", "left")
     # where lines are first, 63 line numbers in a word of bits
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("first.no"), F.lit(63)))

@@ -124,7 +124,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs, copy_chars=line_dedup.COPY_CHARS).select("doc_id", "n_lines", "n_removed", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return line_dedup.dedup_lines(docs, copy_chars=line_dedup.COPY_CHARS, words_per_edit=line_dedup.WORDS_PER_EDIT).select("doc_id", "n_lines", "n_removed", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 # ------------------------------------------------------------------ 7

@@ -126,3 +126,27 @@ def test_query_takes_short_copies_out(spark, small):
             seen.add(line)
     got = {r.doc_id: r.n_removed - r.n_near for r in queries.op1_line_dedup(spark, small).collect()}
     assert got == gone
+
+
+def test_replaced_words(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(4, 12)))
+    lines = []
+    for n in (7, 8, 9, 31, 63, 64, 100):
+        base = [word() for _ in range(n)]
+        lines.append(" ".join(base))
+        for k in range(1, 5):
+            for _ in range(3):
+                other = list(base)
+                for at in rng.sample(range(n), k):
+                    other[at] = word()
+                lines.append(" ".join(other))
+    want, words = set(), [x.split(" ") for x in lines]
+    for i, a in enumerate(words):
+        for j in range(i):
+            b = words[j]
+            if len(a) == len(b) >= 8 and sum(x != y for x, y in zip(a, b, strict=True)) <= max(1, len(a) // 32):
+                want.add(i)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = line_dedup.dedup_lines(df, words_per_edit=line_dedup.WORDS_PER_EDIT).where("n_near > 0").collect()
+    assert {r.doc_id for r in got} == want and len(want) >= 20
