@@ -82,6 +82,8 @@ def _fused(shared: Broadcast, sort: bool) -> Callable[[Iterator[pa.RecordBatch]]
 
 def _shared_index(spark: SparkSession, sf_dir: str, index: str) -> Broadcast | None:
     """The index over the part keys with the promo flags in key order; None if there are too many parts for a broadcast."""
+    if index == "no_op":  # finds nothing, so it needs no keys; the scan still runs
+        return spark.sparkContext.broadcast((build_index(index, np.zeros(0, np.int64)), np.zeros(0, bool)))
     parts = promo_parts(spark, sf_dir)
     if not small_enough(parts, BROADCAST_KEYS):
         return None

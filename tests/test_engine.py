@@ -229,3 +229,11 @@ def test_scalars(spark):
     assert tuple(day) == (2449962, "1995-09-01", None)
     keys = spark.createDataFrame([(0,), (1,), (2,), (3,)], "k long")
     assert [r[0] for r in keys.select(scalars.murmur3_64("k")).collect()] == [0, -5451962507482445012, 4233148493373801447, 815575690806614222]
+
+
+def test_no_op_index_finds_nothing_above_the_broadcast_limit(spark, small, monkeypatch):
+    from probeline.plans import q14
+
+    monkeypatch.setattr(q14, "BROADCAST_KEYS", 0)
+    for plan in (q14.index_join, q14.split):
+        assert [tuple(r) for r in plan(spark, small, "no_op").collect()] == [(0, 0, None)]
