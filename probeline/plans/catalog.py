@@ -313,6 +313,8 @@ _add("sample_distinct", lambda s, d: generators.sample_distinct(relation(s, d, "
      "SELECT CAST(50 AS BIGINT) AS n, CAST(50 AS BIGINT) AS n_distinct")
 _add("shuffle", lambda s, d: generators.shuffled(relation(s, d, "nation").select("n_nationkey")).agg(F.count_distinct("place").alias("places"), F.max("place").cast("long").alias("last"), F.sum("n_nationkey").alias("total")),
      "SELECT count(*) AS places, count(*) - 1 AS last, CAST(sum(n_nationkey) AS BIGINT) AS total FROM nation")
+_add("shuffle_probes", lambda s, d: generators.shuffled(_probes(s, d)).agg(F.count_distinct("place").alias("places"), F.max("place").alias("last"), F.sum("key").alias("total")),
+     f"SELECT count(*) AS places, count(*) - 1 AS last, CAST(sum(key) AS BIGINT) AS total FROM ({_PROBES})")
 
 # ------------------------------------------------------------- text sources
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probeline.operators.positions import with_positions
@@ -110,6 +110,6 @@ def sample_distinct(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def shuffled(df: DataFrame, seed: int = 0) -> DataFrame:
-    """df with a place for each row in a random order."""
-    order = Window.orderBy(F.xxhash64(*df.columns, F.lit(seed)), *df.columns)
-    return df.withColumn("place", F.row_number().over(order) - 1)
+    """df with a place for each row in a random order, numbered range by range of a hash."""
+    hashed = df.withColumn("_hash", F.xxhash64(*df.columns, F.lit(seed)))
+    return with_positions(hashed, "_hash", "place").drop("_hash")

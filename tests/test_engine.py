@@ -231,6 +231,15 @@ def test_scalars(spark):
     assert [r[0] for r in keys.select(scalars.murmur3_64("k")).collect()] == [0, -5451962507482445012, 4233148493373801447, 815575690806614222]
 
 
+def test_shuffled_numbers_rows_without_one_task(spark):
+    from probeline.sources import generators
+
+    out = generators.shuffled(spark.range(5000).repartition(7), seed=1)
+    places = [r.place for r in out.orderBy("id").collect()]
+    assert sorted(places) == list(range(5000)) and places != list(range(5000))
+    assert "windowspecdefinition(_range" in out._jdf.queryExecution().analyzed().toString()
+
+
 def test_no_op_index_finds_nothing_above_the_broadcast_limit(spark, small, monkeypatch):
     from probeline.plans import q14
 
