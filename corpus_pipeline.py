@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from probeline.llm import contamination, line_dedup, ngram_join, packing, toxicity
 from probeline.llm.common import bucket_of, shared_folder, spill, table
 from probeline.llm.queries import tokenizer_path
+from probeline.operators.positions import with_positions
 
 #: Documents that score as much or more are rejected.
 TOXIC = 0.7
@@ -39,13 +40,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: that of the smallest id (of rows with equal ids, one)."""
+    """One document of each component of near copies: that of the smallest id (null ids last, of rows with equal ids, one)."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        # ids don't tell rows apart: numbers in the order of the ids do
+        once = docs.dropDuplicates(["doc_id", "text"]).withColumn("_at", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)))
+        rows = spill(with_positions(once, "_at", "_row").drop("_at"), "numbered")
+        kept = ngram_join.jaccard_components(rows.select("_row", "text"), id_col="_row").where("n_shingles = 0 or component_id = _row").select("_row")
+        return rows.join(kept, "_row", "left_semi").select(*docs.columns)
     groups = spill(ngram_join.jaccard_components(docs.select("doc_id", "text")), "components")
-    kept = groups.where("n_shingles > 0 and component_id = doc_id or component_id is null or n_shingles = 0").select("doc_id").distinct()
-    stays = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    if groups.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return stays.dropDuplicates(["doc_id", "text"])  # rows of one id: one of each text
-    return stays
+    kept = groups.where("n_shingles > 0 and component_id = doc_id or n_shingles = 0").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,16 @@ def test_odd_rows_and_an_empty_table(spark, odd, empty, small):
             assert out.columns == docs.columns
             docs = spark.createDataFrame(out.collect(), out.schema)
         assert (STAGES["packing"](spark, docs, small).count() > 0) == (start is odd)
+
+
+def test_one_of_near_copies_stays_without_unique_ids(spark, small):
+    words = [f"word{i}" for i in range(60)]
+    a, b, c, d = (" ".join([*words[:59], x]) for x in ("w", "x", "y", "z"))
+    other = [" ".join(f"{x}{w}" for w in words) for x in ("p", "q")]
+    near = lambda x, y: (f"{x} {y}")
+    rows = [(None, a), (None, b), (None, other[0]), (5, near(other[1], "s")), (5, near(other[1], "t")), (7, near(other[1], "u")), (9, c), (None, d), (11, None), (12, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in STAGES["ngram_jaccard"](spark, df, small).collect()]
+    assert len(got) == 5 and {(9, c), (None, other[0]), (11, None), (12, None)} <= set(got) and len([1 for i, _ in got if i == 5]) == 1
+    nulls = spark.createDataFrame([(None, a), (None, b)], "doc_id long, text string")
+    assert STAGES["ngram_jaccard"](spark, nulls, small).count() == 1
