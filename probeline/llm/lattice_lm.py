@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import math
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -33,8 +34,8 @@ from probeline.llm.wordcore import SPACE, _BASE, _INVERSE, Words, _power, buffer
 DISCOUNT = 0.75
 #: Rounds of expectation maximisation.
 ROUNDS = 2
-#: Longer pieces of the vocabulary (in bytes) aren't used.
-PIECE_BYTES = 12
+#: Pieces of the vocabulary may have so many bytes: all are used.
+PIECE_BYTES = sys.maxsize
 #: Share of the freed mass that a document's end has.
 END_SHARE = 0.01
 #: Words whose counts and scores are broadcast, at most (24 bytes each); the others are joined.
@@ -63,7 +64,7 @@ def usable_pieces(pieces: list[bytes]) -> list[tuple[bytes, float]]:
 
     The first score is by Zipf's law from the rank; the scores of all sum to 1.
     """
-    inner = [p for p in pieces if 0 < len(p) <= PIECE_BYTES and not any(SPACE[b] or 65 <= b <= 90 for b in p[1:]) and (p[0] == 0x20 or not (SPACE[p[0]] or 65 <= p[0] <= 90))]
+    inner = [p for p in pieces if p and not any(SPACE[b] or 65 <= b <= 90 for b in p[1:]) and (p[0] == 0x20 or not (SPACE[p[0]] or 65 <= p[0] <= 90))]
     known = set(inner)
     inner += [bytes([b]) for b in range(256) if bytes([b]) not in known and (b == 0x20 or not SPACE[b])]
     total = sum(1 / (r + 10) for r in range(len(inner)))
@@ -95,7 +96,7 @@ class Lattice:
         sources, targets, pieces = [], [], []
         sums = _sums(data)
         for n, (known, ids, bits) in self.by_length.items():
-            start = at[at + n <= ends]
+            start = at = at[at + n <= ends[at]]  # lengths ascend
             h = mix((sums[start + n] - sums[start]) * _power(_INVERSE, len(data) + 1)[start])
             keep = bits[(h & _U((1 << 20) - 1)).astype(np.int64)]
             start, h = start[keep], h[keep]

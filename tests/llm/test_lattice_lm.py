@@ -126,3 +126,13 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     assert lattice_lm.score_documents(empty, F.lit(True), path).count() == 0
     out = lattice_lm.score_documents(odd, F.lit(False), path).collect()
     check(out, [(r[0], r[1]) for r in odd_rows], lambda d: False)
+
+
+def test_long_pieces_are_used():
+    pieces = lattice_lm.vocabulary_pieces(queries.tokenizer_path())
+    usable = dict(lattice_lm.usable_pieces(pieces))
+    assert {b" international", b" administration", b" particularly"} <= set(usable)
+    lattice = lattice_lm.Lattice([*usable], np.log([*usable.values()]))
+    words = [b"international", b"administrations", b"particularly", b"-" * 40, b"a"]
+    total, _ = lattice_lm.forward(lattice, pa.array(words, pa.binary()))
+    assert np.exp(total) == pytest.approx([plain_forward(usable, w) for w in words])
