@@ -21,11 +21,13 @@ from probeline.llm.common import spill
 SLACK = 1 / 32
 #: So many partitions hand their open bins to one task of the next round.
 FAN_IN = 64
+#: The special string of the vocabulary; its id follows the ranks.
+SPECIAL = "<|endoftext|>"
 
 
 @lru_cache(maxsize=4)
 def _encoder(path: str) -> Callable[[str], list[int]]:
-    """Encodes as the byte-level BPE vocabulary at path does; special strings in a text are ordinary text.
+    """Encodes as the byte-level BPE vocabulary at path does; the special string in a text is its one id.
 
     A `.json` file is read by `tokenizers`; a `.tiktoken` file (ranks of the
     same vocabulary) by `tiktoken`, which gives the same ids several times faster.
@@ -34,14 +36,14 @@ def _encoder(path: str) -> Callable[[str], list[int]]:
         from tokenizers import Tokenizer
 
         bpe = Tokenizer.from_file(path)
-        bpe.encode_special_tokens = True
         return lambda text: bpe.encode(text, add_special_tokens=False).ids
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    bpe = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
+    return lambda text: bpe.encode(text, allowed_special={SPECIAL}) if SPECIAL in text else bpe.encode_ordinary(text)
 
 
 def pieces_of(n: int, capacity: int, slack: float = SLACK) -> list[int]:

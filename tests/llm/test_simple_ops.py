@@ -261,3 +261,13 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
     assert len(out) == odd.count() and all(0 <= r["score"] <= 1 for r in out)
     assert toxicity.score(empty, model).count() == 0
     assert toxicity.train(empty, labels).weights == {} and toxicity.train(odd, labels.limit(0)).weights == {}
+
+
+def test_special_string_has_the_id_of_a_plain_call():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext|", "none"):
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert packing._encoder(queries.tokenizer_path())(text) == packing._encoder(path)(text) == want
