@@ -95,6 +95,11 @@ def interpolate(x: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Co
     return y0 + (x - x0) * (y1 - y0) / (x1 - x0)
 
 
+def packed_chars(a: Column, b: Column) -> Column:
+    """Two ASCII characters as one key of 16 bits, the first one in the upper half."""
+    return F.shiftleft(F.ascii(a), 8).bitwiseOR(F.ascii(b))
+
+
 def joined(*columns: Column) -> Column:
     return F.concat_ws(",", *columns)
 

@@ -65,22 +65,45 @@ def galloping_search(keys: np.ndarray, probes: np.ndarray, lo: np.ndarray, hi: n
     return bounded_search(keys, probes, begin, np.maximum(begin, end))
 
 
-SEARCHES = {"binary": bounded_search, "linear": linear_search, "galloping": galloping_search}
+def hinted_search(keys: np.ndarray, probes: np.ndarray, lo: np.ndarray, hi: np.ndarray, hint: np.ndarray | None = None) -> np.ndarray:
+    """The same by doubling steps from a hint (without one, the middle), to the side where the bound lies, then halving."""
+    if not len(keys):
+        return lo.copy()
+    last = np.maximum(hi - 1, lo)
+    at = np.clip((lo + hi) >> 1 if hint is None else hint, lo, last)
+    open_ = lo < hi
+    up = open_ & (keys[np.minimum(at, len(keys) - 1)] < probes)
+    begin, end = np.where(up, at + 1, lo), np.where(up | ~open_, hi, at)
+    step, moving = 1, open_.copy()
+    while moving.any() and step <= 2 * len(keys):
+        next_ = np.where(up, at + step, at - step)
+        inside = moving & (next_ >= lo) & (next_ < hi)
+        less = keys[np.clip(next_, 0, len(keys) - 1)] < probes
+        begin = np.where(inside & less, np.maximum(begin, next_ + 1), begin)
+        end = np.where(inside & ~less, np.minimum(end, next_), end)
+        moving = inside & (less == up)
+        step *= 2
+    return bounded_search(keys, probes, begin, np.maximum(begin, end))
+
+
+SEARCHES = {"binary": bounded_search, "linear": linear_search, "galloping": galloping_search, "hinted": hinted_search}
 
 
 # ---------------------------------------------------------------------- indexes
 
 
 class BinarySearch:
-    """No structure at all."""
+    """No structure at all; the whole array is searched."""
 
     name = "binary_search"
 
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
+    def __init__(self, keys: np.ndarray, search: str | None = None):
+        self.keys, self.search = keys, search
 
     def lower_bound(self, probes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.keys, probes, "left")
+        if self.search in (None, "binary"):
+            return np.searchsorted(self.keys, probes, "left")
+        return SEARCHES[self.search](self.keys, probes, np.zeros(len(probes), np.int64), np.full(len(probes), len(self.keys), np.int64))
 
     @property
     def nbytes(self) -> int:
@@ -93,8 +116,9 @@ class _Levels:
     fanout: int
     search: str
 
-    def __init__(self, keys: np.ndarray):
+    def __init__(self, keys: np.ndarray, search: str | None = None):
         self.keys = keys
+        self.search = search or self.search
         self.levels: list[np.ndarray] = []
         below = keys
         while len(below) > self.fanout:
@@ -115,16 +139,21 @@ class _Levels:
         return sum(x.nbytes for x in self.levels)
 
 
+# Bytes of a page, of its header and of a key; keys of a small node.
+PAGE_BYTES, HEADER_BYTES, KEY_BYTES = 4096, 128, 8
+NODE_KEYS = 32
+
+
 class BTree(_Levels):
-    """Pages of 4 KiB with a header of 128 bytes, full; leaves are slices of the key column."""
+    """Full pages; leaves are slices of the key column."""
 
-    name, fanout, search = "btree", (4096 - 128) // 8, "binary"
+    name, fanout, search = "btree", (PAGE_BYTES - HEADER_BYTES) // KEY_BYTES, "binary"
 
 
 class Harmonia(_Levels):
     """Breadth-first levels of small nodes, searched one key after the other; any number of keys."""
 
-    name, fanout, search = "harmonia", 32, "linear"
+    name, fanout, search = "harmonia", NODE_KEYS, "linear"
 
 
 class RadixSpline:
@@ -132,8 +161,8 @@ class RadixSpline:
 
     name = "radix_spline"
 
-    def __init__(self, keys: np.ndarray, error: int = 16, radix_bits: int = 12):
-        self.keys, self.error = keys, error
+    def __init__(self, keys: np.ndarray, search: str | None = None, error: int = 16, radix_bits: int = 12):
+        self.keys, self.error, self.search = keys, error, search or "binary"
         self.knots, self.places = self._fit(*np.unique(keys, return_index=True), error)
         span = int(self.knots[-1] - self.knots[0]) if len(self.knots) else 0
         self.shift = max(0, span.bit_length() - radix_bits)
@@ -146,18 +175,20 @@ class RadixSpline:
         """Greedy spline corridor: the fewest knots among the points such that interpolation misses by `error` at most."""
         if len(xs) < 2:
             return xs.copy(), ys.copy()
-        knots = [0]
-        base_x, base_y = int(xs[0]), int(ys[0])
-        top, bottom = math.inf, -math.inf
-        for i in range(1, len(xs)):
-            dx, dy = int(xs[i]) - base_x, int(ys[i]) - base_y
-            if not bottom <= dy / dx <= top:
-                knots.append(i - 1)
-                base_x, base_y = int(xs[i - 1]), int(ys[i - 1])
-                dx, dy = int(xs[i]) - base_x, int(ys[i]) - base_y
-                top, bottom = math.inf, -math.inf
-            top, bottom = min(top, (dy + error) / dx), max(bottom, (dy - error) / dx)
-        knots.append(len(xs) - 1)
+        knots, n = [0], len(xs)
+        while knots[-1] < n - 1:
+            base, i = knots[-1], knots[-1] + 1
+            top, bottom, step = math.inf, -math.inf, 64
+            while i < n:  # a block of points at a time, each twice as long, until one leaves the corridor
+                dx, dy = (xs[i : i + step] - xs[base]).astype(float), (ys[i : i + step] - ys[base]).astype(float)
+                tops = np.minimum.accumulate(np.r_[top, (dy + error) / dx])
+                bottoms = np.maximum.accumulate(np.r_[bottom, (dy - error) / dx])
+                out = np.flatnonzero((dy / dx > tops[:-1]) | (dy / dx < bottoms[:-1]))
+                if len(out):
+                    i += int(out[0])
+                    break
+                top, bottom, i, step = tops[-1], bottoms[-1], i + len(dx), min(2 * step, 1 << 16)
+            knots.append(i - 1)
         return xs[knots], ys[knots]
 
     def lower_bound(self, probes: np.ndarray) -> np.ndarray:
@@ -173,7 +204,10 @@ class RadixSpline:
         guess = self.places[left] + (inner - self.knots[left]) / run * (self.places[right] - self.places[left])
         lo = np.clip(np.floor(guess).astype(np.int64) - self.error - 1, 0, n)
         hi = np.clip(np.ceil(guess).astype(np.int64) + self.error + 2, 0, n)
-        found = bounded_search(self.keys, probes, lo, hi)
+        if self.search == "hinted":
+            found = hinted_search(self.keys, probes, lo, hi, np.rint(guess).astype(np.int64))
+        else:
+            found = SEARCHES[self.search](self.keys, probes, lo, hi)
         # a probe between keys, or equal keys in a long run, may lie outside the window: these are searched whole
         wrong = ((found > 0) & (self.keys[np.maximum(found - 1, 0)] >= probes)) | ((found < n) & (self.keys[np.minimum(found, n - 1)] < probes))
         if wrong.any():
@@ -190,8 +224,8 @@ class NoOp:
 
     name = "no_op"
 
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
+    def __init__(self, keys: np.ndarray, search: str | None = None):
+        self.keys, self.search = keys, search
 
     def lower_bound(self, probes: np.ndarray) -> np.ndarray:
         return np.full(len(probes), len(self.keys), np.int64)
@@ -206,13 +240,15 @@ INDEXES: dict[str, type] = {x.name: x for x in (BTree, Harmonia, BinarySearch, R
 DEFAULT_SEMANTICS = {"btree": "exact", "harmonia": "exact", "binary_search": "ceiling", "radix_spline": "ceiling", "no_op": "exact"}
 
 
-def build_index(name: str, keys: np.ndarray) -> Index:
-    """keys: a sorted array of whole numbers in [0, 2 ** 63)."""
+def build_index(name: str, keys: np.ndarray, search: str | None = None) -> Index:
+    """keys: a sorted array of whole numbers in [0, 2 ** 63); search: one of SEARCHES within nodes and windows, else the index's own."""
     if name not in INDEXES:
         raise ValueError(f"index {name!r} is unknown; there are {', '.join(INDEXES)}")
+    if search is not None and search not in SEARCHES:
+        raise ValueError(f"search {search!r} is unknown; there are {', '.join(SEARCHES)}")
     if len(keys) and keys[0] < 0:
         raise ValueError("keys must not be negative")
-    return INDEXES[name](keys)
+    return INDEXES[name](keys, search)
 
 
 def find(index: Index, probes: np.ndarray, semantics: str) -> tuple[np.ndarray, np.ndarray]:

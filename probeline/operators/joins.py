@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
 
-#: A build side is broadcast up to this many rows; a larger one is shuffled.
-BROADCAST_ROWS = 1 << 22
+#: A build side is broadcast up to this many rows and bytes of values; a larger one is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1 << 22, 1 << 28
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a relation has no more than so many rows; counting stops there."""
-    return df.limit(rows + 1).count() <= rows
+def _bytes(df: DataFrame) -> Column:
+    """The bytes of a row's values: 8 each, and the text of those that vary in length."""
+    varying = [F.octet_length(F.col(f"`{f.name}`").cast("string")) for f in df.schema if not isinstance(f.dataType, (NumericType, DateType, TimestampType, TimestampNTZType, BooleanType))]
+    return sum((F.coalesce(x, F.lit(0)) for x in varying), F.lit(8 * len(df.columns)))
+
+
+def small_enough(df: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
+    """Whether a relation has no more than so many rows and bytes; counting stops at the rows."""
+    rows, size = rows or BROADCAST_ROWS, size or BROADCAST_BYTES
+    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(_bytes(df)), F.lit(0)).alias("bytes")).first()
+    return seen.n <= rows and seen.bytes <= size
 
 
 def hash_join(probe: DataFrame, build: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -25,9 +34,25 @@ def keep_one(build: DataFrame, key: str) -> DataFrame:
     return build.groupBy(key).agg(value).select(key, "row.*")
 
 
-def scatter_keys(lookups: DataFrame, indexed: DataFrame) -> DataFrame:
-    """(build_tid, key): builds on the lookups, probes with the indexed keys and gives each matched lookup its key."""
-    return indexed.select("key").distinct().join(lookups.hint("shuffle_hash"), "key").select(F.col("probe_id").alias("build_tid"), "key")
+def build_side(r_rows: Column | int, s_rows: Column | int) -> Column:
+    """The side of fewer rows is built: `lookups` (r) or `indexed` (s, also if they are as many)."""
+    r, s = (x if isinstance(x, Column) else F.lit(x) for x in (r_rows, s_rows))
+    return F.when(r < s, "lookups").otherwise("indexed")
+
+
+def scatter_keys(lookups: DataFrame, indexed: DataFrame, build: str = "lookups") -> DataFrame:
+    """(build_tid, key): each matched lookup with its key.
+
+    build: the side whose hash table is made, lookups or indexed; auto counts
+    both and takes the smaller one.  It changes the plan, not the rows.
+    """
+    keys = indexed.select("key").distinct()
+    if build == "auto":
+        build = lookups.sparkSession.range(1).select(build_side(lookups.count(), keys.count())).first()[0]
+    if build not in ("lookups", "indexed"):
+        raise ValueError(f"build side {build!r} is neither lookups nor indexed nor auto")
+    left, right = (keys, lookups.hint("shuffle_hash")) if build == "lookups" else (lookups, keys.hint("shuffle_hash"))
+    return left.join(right, "key").select(F.col("probe_id").alias("build_tid"), "key")
 
 
 def sum_of_matches(lookups: DataFrame, indexed: DataFrame) -> DataFrame:

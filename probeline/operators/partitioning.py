@@ -72,4 +72,4 @@ def distribute(df: DataFrame, key: str = "key", radix_bits: int = RADIX_BITS, ig
 
 def running_offsets(df: DataFrame, by: str, order: str, name: str = "place") -> DataFrame:
     """Adds each row's 0-based place within its group."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1)
+    return df.withColumn(name, (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).cast("long"))

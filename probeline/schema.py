@@ -24,7 +24,6 @@ PART = _fields(
     ("p_partkey", T.LongType()), ("p_name", T.StringType()), ("p_mfgr", T.StringType()), ("p_brand", T.StringType()), ("p_type", T.StringType()),
     ("p_size", T.IntegerType()), ("p_container", T.StringType()), ("p_retailprice", _MONEY), ("p_comment", T.StringType()),
 )
-ORDERS = _fields(("o_orderkey", T.LongType()), ("o_orderdate", T.DateType()), ("o_orderpriority", T.StringType()))
 
 
 def scaled(column: str, factor: int = 100):
@@ -36,12 +35,6 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem with amounts in hundredths; the names stay. Filters on other columns reach the scan."""
-    rows = relation(spark, sf_dir, "lineitem")
-    return rows.select(*[scaled(c).alias(c) if c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax") else F.col(c) for c in rows.columns])
-
-
 def register(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("lineitem", "part", "orders")) -> None:
     """The tables of a folder as temporary views."""
     for name in names:

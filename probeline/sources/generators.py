@@ -41,7 +41,7 @@ def unique_uniform(spark: SparkSession, n: int, limit: int, seed: int = 0) -> Da
         # a share of about n / limit is taken twice; the surplus makes a shortfall all but impossible
         surplus = n + int(n * n / limit) + 8 * int(math.sqrt(n)) + 16
         drawn = uniform(spark, surplus, limit, seed).distinct()
-    return drawn.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(n)
+    return sample_distinct(drawn, n, seed)
 
 
 def sparse_keys(spark: SparkSession, n: int, max_bits: int = 0, seed: int = 0) -> DataFrame:
@@ -53,11 +53,10 @@ def sparse_keys(spark: SparkSession, n: int, max_bits: int = 0, seed: int = 0) -
 
 
 def zipf_ranks(rng: np.random.Generator, n: int, limit: int, exponent: float) -> np.ndarray:
-    """n draws from 1 .. limit with probability proportional to k ** -exponent, by inversion of the exact distribution.
+    """n draws from 1 .. limit with probability proportional to k ** -exponent, without a table of all ranks.
 
-    Ranks are drawn in two steps, a power-of-two range and then within it, so
-    that no table of all ranks is needed: a range's mass is bounded by its
-    integral and draws are accepted by the true density.
+    The envelope x ** -exponent is drawn by inversion and rounded to a rank,
+    which is accepted by its true probability over the envelope's mass there.
     """
     out = np.empty(0, np.int64)
 
@@ -105,8 +104,8 @@ def datasets(
 
 
 def sample_distinct(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n rows of df, each at most once, the same ones for the same seed."""
-    return df.orderBy(F.xxhash64(*df.columns, F.lit(seed)), *df.columns).limit(n)
+    """n rows of df, each at most once, the first in a random order, which is numbered range by range; for the same seed the same ones, but for equal rows."""
+    return shuffled(df, seed).where(F.col("place") < n).drop("place")
 
 
 def shuffled(df: DataFrame, seed: int = 0) -> DataFrame:

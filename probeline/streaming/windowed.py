@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from probeline.operators.lookup import SCHEMA, lookup
+from probeline.session import shared_path
 
 
 def lookup_stream(
@@ -20,7 +19,7 @@ def lookup_stream(
     its number, so one that is repeated after a failure replaces itself and
     every probe comes out once.
     """
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()}/probeline-stream-{os.urandom(6).hex()}"
+    base = shared_path(spark, "probeline-stream")
     schema = spark.read.parquet(path).schema
 
     def one_batch(batch: DataFrame, number: int) -> None:

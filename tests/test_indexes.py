@@ -56,3 +56,23 @@ def test_semantics_and_errors():
     with pytest.raises(ValueError):
         indexes.find(index, np.array([1]), "floor")
     assert not indexes.find(indexes.build_index("no_op", np.array([1])), np.array([1]), "exact")[1].any()
+
+
+@pytest.mark.parametrize("search", [*indexes.SEARCHES])
+@pytest.mark.parametrize("name", NAMES)
+def test_every_search_in_every_index(name, search):
+    rng = np.random.default_rng(4)
+    for keys in (np.arange(3000) * 7, np.sort(rng.integers(0, 2**40, 3000)), np.sort(rng.integers(0, 50, 3000)), np.zeros(0, np.int64)):
+        index = indexes.build_index(name, keys, search)
+        probes = np.r_[rng.integers(0, 2**41, 300), rng.integers(0, 60, 300), keys[::50]]
+        assert index.search == search and index.lower_bound(probes).tolist() == np.searchsorted(keys, probes).tolist()
+    with pytest.raises(ValueError):
+        indexes.build_index(name, np.array([1]), "nope")
+
+
+def test_hinted_search_from_any_hint():
+    keys = np.sort(np.random.default_rng(5).integers(0, 500, 400))
+    probes = np.arange(-1, 502)
+    lo, hi = np.zeros(len(probes), np.int64), np.full(len(probes), len(keys), np.int64)
+    for hint in (0, 57, 399, 1000):
+        assert indexes.hinted_search(keys, probes, lo, hi, np.full(len(probes), hint)).tolist() == np.searchsorted(keys, probes).tolist()
