@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +15,7 @@ from probeline.operators.lookup import lookup, mismatches
 from probeline.operators.positions import exclusive_prefix, with_positions
 from probeline.plans import q1, q4, q14
 from probeline.schema import relation, scaled
+from probeline.session import shared_path
 from probeline.sources import delimited, generators
 from probeline.streaming.windowed import lookup_stream
 
@@ -94,6 +93,9 @@ _add("q14_ij_lookup_first", q14.lookup_first, q14.ORACLE)
 _add("q14_ij_partitioning", lambda s, d: q14.index_join(s, d, "harmonia", partitioned=True), q14.ORACLE)
 _add("q14_split", q14.split, q14.ORACLE)
 _add("q14_ij_no_op", lambda s, d: q14.index_join(s, d, "no_op"), "SELECT CAST(0 AS BIGINT) AS numerator, CAST(0 AS BIGINT) AS denominator, CAST(NULL AS BIGINT) AS ratio")
+_add("q14_validation", q14.validate, f"""
+SELECT n AS n_lineitem, ratio, known, ratio = known AS valid FROM ({q14.ORACLE}), (SELECT n, CAST(CASE n {' '.join(f'WHEN {n} THEN {r}' for n, r in q14.KNOWN_RATIOS.items())} END AS BIGINT) AS known FROM (SELECT count(*) AS n FROM lineitem))""")
+_add("q14_phases", lambda s, d: q14.phases(s, d)[0], q14.ORACLE)
 _add("join_entries", lambda s, d: q14.join_entries(s, d).drop("row_id"), f"""
 SELECT l_partkey, summand, pos AS part_pos FROM (SELECT l_partkey, {SUMMAND} AS summand FROM lineitem WHERE {MONTH})
 JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part) ON l_partkey = p_partkey""")
@@ -137,6 +139,8 @@ for _index in ("btree", "harmonia", "binary_search", "radix_spline"):
     _add(f"lookup_ceiling_{_index}", lambda s, d, i=_index: lookup(_probes(s, d), _indexed(s, d), i, "plain", "ceiling"), _CEILING)
 _add("lookup_exact_join", lambda s, d: lookup(_probes(s, d), _indexed(s, d), "btree", "join", "exact"), _EXACT)
 _add("lookup_ceiling_join", lambda s, d: lookup(_probes(s, d), _indexed(s, d), "btree", "join", "ceiling"), _CEILING)
+for _index, _search in (("btree", "galloping"), ("harmonia", "hinted"), ("binary_search", "galloping"), ("radix_spline", "hinted")):
+    _add(f"lookup_ceiling_{_index}_{_search}", lambda s, d, i=_index, x=_search: lookup(_probes(s, d), _indexed(s, d), i, "plain", "ceiling", search=x), _CEILING)
 _add("lookup_bws", lambda s, d: lookup(_probes(s, d), _indexed(s, d), "btree", "bws", "exact"), _EXACT)
 _add("lookup_partitioning", lambda s, d: lookup(_probes(s, d), _indexed(s, d), "radix_spline", "partitioning", "ceiling"), _CEILING)
 _add("lookup_no_op", lambda s, d: lookup(_probes(s, d), _indexed(s, d), "no_op"), f"SELECT probe_id, key, CAST(NULL AS BIGINT) AS pos FROM ({_PROBES})")
@@ -158,10 +162,11 @@ def _lookups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 _LOOKUPS = "(SELECT o_orderkey AS build_tid, o_custkey * 3 AS key FROM orders) r JOIN (SELECT p_partkey * 2 AS key FROM part) s USING (key)"
 _add("hj_scatter_keys", lambda s, d: joins.scatter_keys(*_lookups(s, d)), f"SELECT build_tid, key FROM {_LOOKUPS}")
+_add("hj_scatter_keys_auto", lambda s, d: joins.scatter_keys(*_lookups(s, d), build="auto"), f"SELECT build_tid, key FROM {_LOOKUPS}")
 _add("hj_aggregate_only", lambda s, d: joins.sum_of_matches(*_lookups(s, d)), f"SELECT CAST(coalesce(sum(key), 0) AS BIGINT) AS key_sum, count(*) AS n FROM {_LOOKUPS}")
 _add("hash_table_keep_one", lambda s, d: joins.keep_one(relation(s, d, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("value")), "key"),
      "SELECT l_partkey AS key, min(l_suppkey) AS value FROM lineitem GROUP BY 1")
-_add("build_side_choice", lambda s, d: relation(s, d, "orders").agg(F.count("*").alias("r")).crossJoin(relation(s, d, "part").agg(F.count("*").alias("s"))).select(F.when(F.col("r") < F.col("s"), "lookups").otherwise("indexed").alias("build"), F.greatest("r", "s").alias("probe_rows")),
+_add("build_side_choice", lambda s, d: relation(s, d, "orders").agg(F.count("*").alias("r")).crossJoin(relation(s, d, "part").agg(F.count("*").alias("s"))).select(joins.build_side(F.col("r"), F.col("s")).alias("build"), F.greatest("r", "s").alias("probe_rows")),
      "SELECT CASE WHEN r < s THEN 'lookups' ELSE 'indexed' END AS build, greatest(r, s) AS probe_rows FROM (SELECT count(*) AS r FROM orders), (SELECT count(*) AS s FROM part)")
 
 # ------------------------------------------------------------- partitioning
@@ -289,7 +294,15 @@ def _index_bytes(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(name, len(keys), build_index(name, keys).nbytes) for name in INDEXES], "name string, n_keys long, n_bytes long")
 
 
-_add("index_bytes", _index_bytes)
+_LEVELS = """SELECT '{name}' AS name, (SELECT count(*) FROM part) AS n_keys, CAST(coalesce(sum(8 * n), 0) AS BIGINT) AS n_bytes FROM (
+WITH RECURSIVE l AS (SELECT count(*) AS n, 0 AS level FROM part UNION ALL SELECT (n + {fanout} - 1) // {fanout}, level + 1 FROM l WHERE n > {fanout}) SELECT n FROM l WHERE level > 0)"""
+# evenly spaced keys are one segment: two knots with their places, and a cell of the radix table for each prefix and two more
+_SPLINE = """SELECT 'radix_spline' AS name, n AS n_keys, CAST(32 + 8 * ((span >> greatest(0, length(bin(span)) - 12)) + 3) AS BIGINT) AS n_bytes FROM (SELECT count(*) AS n, max(p_partkey * 10) - min(p_partkey * 10) AS span FROM part)"""
+_NOTHING = "SELECT '{name}' AS name, count(*) AS n_keys, CAST(0 AS BIGINT) AS n_bytes FROM part"
+_add("index_bytes", _index_bytes, " UNION ALL ".join([
+    _LEVELS.format(name="btree", fanout=496), _LEVELS.format(name="harmonia", fanout=32), _NOTHING.format(name="binary_search"), _SPLINE, _NOTHING.format(name="no_op")]))
+_add("group_by_packed_chars", lambda s, d: relation(s, d, "lineitem").groupBy(S.packed_chars(F.col("l_returnflag"), F.col("l_linestatus")).alias("k")).agg(F.count("*").alias("n")),
+     "SELECT CAST(ascii(l_returnflag) * 256 + ascii(l_linestatus) AS INTEGER) AS k, count(*) AS n FROM lineitem GROUP BY 1")
 
 # ---------------------------------------------------------------- generators
 
@@ -303,11 +316,19 @@ def _hits(spark: SparkSession, dataset: str, pattern: str) -> DataFrame:
 
 _PROMISE = "SELECT CAST(1500 AS BIGINT) AS n_lookups, CAST(1500 AS BIGINT) AS n_hits, CAST(2000 AS BIGINT) AS n_keys, CAST(2000 AS BIGINT) AS n_distinct"
 _add("gen_dense", lambda s, d: generators.dense_keys(s, 10_000), "SELECT CAST(range AS BIGINT) AS key FROM range(10000)")
-_add("gen_sparse", lambda s, d: generators.sparse_keys(s, 1000, seed=3))
-_add("gen_uniform", lambda s, d: generators.uniform(s, 1000, 5000, seed=3))
-_add("gen_uniform_unique", lambda s, d: generators.unique_uniform(s, 1000, 5000, seed=3))
-_add("gen_zipf", lambda s, d: generators.zipf(s, 1000, 5000, 1.25, seed=3))
-for _dataset, _pattern in (("dense", "uniform"), ("sparse", "uniform_unique"), ("sparse", "zipf")):
+
+
+def _promised(rows: DataFrame, least: int, limit: int) -> DataFrame:
+    """What a generator promises of its own rows: how many, how many lie in their range, and whether they differ."""
+    return rows.agg(F.count("*").alias("n"), F.count_if((F.col("key") >= least) & (F.col("key") < limit)).alias("n_in_range"), (F.count_distinct("key") == F.count("*")).alias("all_differ"))
+
+
+_PROMISED = "SELECT CAST({n} AS BIGINT) AS n, CAST({n} AS BIGINT) AS n_in_range, {differ} AS all_differ"
+_add("gen_sparse", lambda s, d: _promised(generators.sparse_keys(s, 10_000, max_bits=20, seed=3), 0, 2**19), _PROMISED.format(n=10_000, differ="true"))
+_add("gen_uniform", lambda s, d: _promised(generators.uniform(s, 100_000, 5000, seed=3), 0, 5000), _PROMISED.format(n=100_000, differ="false"))
+_add("gen_uniform_unique", lambda s, d: _promised(generators.unique_uniform(s, 3000, 5000, seed=3), 0, 5000), _PROMISED.format(n=3000, differ="true"))
+_add("gen_zipf", lambda s, d: _promised(generators.zipf(s, 100_000, 5000, 1.25, seed=3), 1, 5000), _PROMISED.format(n=100_000, differ="false"))
+for _dataset, _pattern in (("dense", "uniform"), ("dense", "uniform_unique"), ("dense", "zipf"), ("sparse", "uniform"), ("sparse", "uniform_unique"), ("sparse", "zipf")):
     _add(f"gen_lookups_{_dataset}_{_pattern}", lambda s, d, a=_dataset, b=_pattern: _hits(s, a, b), _PROMISE)
 _add("sample_distinct", lambda s, d: generators.sample_distinct(relation(s, d, "part").select("p_partkey"), 50).agg(F.count("*").alias("n"), F.count_distinct("p_partkey").alias("n_distinct")),
      "SELECT CAST(50 AS BIGINT) AS n, CAST(50 AS BIGINT) AS n_distinct")
@@ -321,13 +342,8 @@ _add("shuffle_probes", lambda s, d: generators.shuffled(_probes(s, d)).agg(F.cou
 _PART_TEXT = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("p_name", T.StringType()), T.StructField("p_size", T.IntegerType()), T.StructField("p_retailprice", T.DecimalType(15, 2))])
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base}/probeline-text-{os.urandom(6).hex()}"
-
-
 def _tbl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark)
+    path = shared_path(spark, "probeline-text")
     delimited.write_tbl(relation(spark, d, "part").select("p_partkey", "p_name", "p_size", F.col("p_retailprice").cast("decimal(15,2)").alias("p_retailprice")), path)
     return delimited.read_tbl(spark, path, _PART_TEXT).select("p_partkey", "p_name", "p_size", (F.col("p_retailprice") * 100).cast("long").alias("cents"))
 
@@ -336,7 +352,7 @@ _add("tbl_roundtrip", _tbl_roundtrip, f"SELECT p_partkey, p_name, p_size, {CENTS
 
 
 def _line_width(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark)
+    path = shared_path(spark, "probeline-text")
     delimited.write_tbl(relation(spark, d, "part").select("p_partkey", "p_size"), path)
     return delimited.line_width(spark, path).select(F.round(F.col("avg_width") * 1000).cast("long").alias("width_x1000"), "n_lines")
 
@@ -352,5 +368,5 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("probe_id").alias("event_id"), "pos")
 
 
-_add("running_place", lambda s, d: relation(s, d, "customer").select("c_custkey", "c_nationkey").withColumn("place", (F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1).cast("long")),
+_add("running_place", lambda s, d: partitioning.running_offsets(relation(s, d, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", "c_custkey"),
      "SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place FROM customer")

@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+import platform
 import statistics
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 WARMUPS = 3
 
 
+def config_text(value: Any) -> str:
+    """A setting as text: truth values in lower case, no value as the empty text, the rest as it prints."""
+    if value is None:
+        return ""
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def experiment(spark: SparkSession, **settings: Any) -> dict[str, str]:
+    """What was measured, for the record: the settings, and what it ran on."""
+    context = spark.sparkContext
+    ran = {"spark": spark.version, "python": platform.python_version(), "master": context.master, "cores": context.defaultParallelism, "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions")}
+    return {k: config_text(v) for k, v in (settings | ran).items()}
+
+
 @dataclass
 class Measurement:
     seconds: list[float]

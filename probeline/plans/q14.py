@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from probeline.functions.fixed_point import discounted, percentage
@@ -106,9 +106,9 @@ def index_join(spark: SparkSession, sf_dir: str, index: str, sort: bool = False,
 
 def join_entries(spark: SparkSession, sf_dir: str, index: str = "btree") -> DataFrame:
     """(row_id, l_partkey, summand, part_pos): the first phase, whose result is complete before the second begins."""
-    rows = summands(spark, sf_dir).withColumn("row_id", F.monotonically_increasing_id())
-    found = lookup(rows.select(F.col("row_id").alias("probe_id"), F.col("l_partkey").alias("key")), relation(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")), index, "plain", "exact")
-    return rows.join(found.where("pos is not null").select(F.col("probe_id").alias("row_id"), F.col("pos").alias("part_pos")), "row_id")
+    rows = summands(spark, sf_dir).select(F.monotonically_increasing_id().alias("probe_id"), F.col("l_partkey").alias("key"), "summand")
+    found = lookup(rows, relation(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")), index, "plain", "exact", payload=("summand",))
+    return found.where("pos is not null").select(F.col("probe_id").alias("row_id"), F.col("key").alias("l_partkey"), "summand", F.col("pos").alias("part_pos"))
 
 
 def lookup_first(spark: SparkSession, sf_dir: str, index: str = "btree") -> DataFrame:
@@ -127,6 +127,37 @@ def split(spark: SparkSession, sf_dir: str, index: str = "binary_search") -> Dat
     return ratio(sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("numerator"), F.coalesce(F.sum("d"), F.lit(0)).alias("denominator")))
 
 
+# The ratio (in millionths of a per cent) by the number of lineitems of the standard tables.
+KNOWN_RATIOS = {6001215: 16380778, 59986052: 16647594, 59986050: 16647594}
+
+
+def known_ratio(n_lineitem: Column) -> Column:
+    """The ratio that a table of so many lineitems must give, null if none is known."""
+    out = F.lit(None).cast("long")
+    for n, ratio_ in KNOWN_RATIOS.items():
+        out = F.when(n_lineitem == n, F.lit(ratio_)).otherwise(out)
+    return out
+
+
+def validate(spark: SparkSession, sf_dir: str, result: DataFrame | None = None) -> DataFrame:
+    """(n_lineitem, ratio, known, valid): a result, of the hash join by default, against the known ones; valid is null where none is."""
+    n = relation(spark, sf_dir, "lineitem").agg(F.count("*").alias("n_lineitem"))
+    # one row each
+    both = (part_build(spark, sf_dir) if result is None else result).select("ratio").crossJoin(F.broadcast(n))
+    return both.select("n_lineitem", "ratio", known_ratio(F.col("n_lineitem")).alias("known")).withColumn("valid", F.col("ratio") == F.col("known"))
+
+
+def phases(spark: SparkSession, sf_dir: str, index: str = "btree") -> tuple[DataFrame, dict[str, Observation]]:
+    """The two-phase plan, and what passes through its phases (rows of scan and lookup; key range), counted while it runs."""
+    seen = {name: Observation(name) for name in ("scan", "lookup")}
+    scan = summands(spark, sf_dir).observe(seen["scan"], F.count("*").alias("rows"), F.min("l_partkey").alias("least"), F.max("l_partkey").alias("most"))
+    rows = scan.select(F.monotonically_increasing_id().alias("probe_id"), F.col("l_partkey").alias("key"), "summand")
+    parts = with_positions(promo_parts(spark, sf_dir), "p_partkey", "part_pos").select("part_pos", "promo")
+    found = lookup(rows, relation(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")), index, "plain", "exact", payload=("summand",)).where("pos is not null")
+    found = found.observe(seen["lookup"], F.count("*").alias("rows"), F.sum("summand").alias("summand"))
+    return aggregate(hash_join(found.select(F.col("pos").alias("part_pos"), "summand"), parts, "part_pos")), seen
+
+
 #: By name, as the command line takes them; lane refill has no plan of its own and is the two-phase one.
 APPROACHES: dict[str, Callable[..., DataFrame]] = {
     "hj": lambda spark, d, index="btree": part_build(spark, d),

@@ -2,6 +2,7 @@
 
 import decimal
 import itertools
+import time
 
 import duckdb
 import numpy as np
@@ -246,3 +247,93 @@ def test_no_op_index_finds_nothing_above_the_broadcast_limit(spark, small, monke
     monkeypatch.setattr(q14, "BROADCAST_KEYS", 0)
     for plan in (q14.index_join, q14.split):
         assert [tuple(r) for r in plan(spark, small, "no_op").collect()] == [(0, 0, None)]
+
+
+# ------------------------------------------------- known results, choices, metrics
+
+
+def test_known_ratios(spark, small):
+    sizes = spark.createDataFrame([(n,) for n in (6001215, 59986052, 59986050, 7)], "n long")
+    got = {r.n: r.known for r in sizes.select("n", q14.known_ratio(F.col("n")).alias("known")).collect()}
+    assert got == {6001215: 16380778, 59986052: 16647594, 59986050: 16647594, 7: None}
+    assert q14.validate(spark, small).first().valid is None
+
+
+def test_build_side_is_obeyed(spark, small):
+    few, many = spark.range(10).select(F.col("id").alias("key")), spark.range(1000).select(F.col("id").alias("probe_id"), (F.col("id") % 20).alias("key"))
+    results, sides = [], []
+    for side in ("lookups", "indexed", "auto"):
+        df = joins.scatter_keys(many, few, side)
+        results.append(sorted(map(tuple, df.collect())))
+        sides.append("BuildLeft" if "BuildLeft" in plan(df) else "BuildRight" if "BuildRight" in plan(df) else "")
+    assert results[0] == results[1] == results[2] and len(results[0]) == 500
+    assert "ShuffledHashJoin" in plan(joins.scatter_keys(many, few, "auto")) and all(sides)
+    assert spark.range(1).select(joins.build_side(3, 4)).first()[0] == "lookups" and spark.range(1).select(joins.build_side(4, 4)).first()[0] == "indexed"
+    with pytest.raises(ValueError):
+        joins.scatter_keys(many, few, "both")
+
+
+def test_broadcasts_are_checked_by_bytes(spark):
+    wide = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+    assert joins.small_enough(wide) and not joins.small_enough(wide, size=50_000) and not joins.small_enough(wide, rows=99)
+    assert joins.small_enough(spark.range(100).toDF("id"), size=50_000)
+
+
+def test_phases_are_counted(spark, small):
+    result, seen = q14.phases(spark, small)
+    assert result.first().asDict() == q14.part_build(spark, small).first().asDict()
+    n = q14.summands(spark, small).count()
+    assert seen["scan"].get["rows"] == n and seen["lookup"].get["rows"] == n and seen["scan"].get["least"] <= seen["scan"].get["most"]
+
+
+def test_lookup_first_reads_lineitem_once(spark, small):
+    assert plan(q14.join_entries(spark, small)).count("lineitem.parquet") == 1 and "Join" not in plan(q14.join_entries(spark, small))
+
+
+@pytest.mark.parametrize("semantics", ["exact", "ceiling"])
+def test_payload_comes_along(spark, monkeypatch, semantics):
+    probe = spark.createDataFrame([(1, 5, "a"), (2, None, "b"), (3, 10, None), (4, 99, "d")], "probe_id long, key long, text string")
+    indexed = spark.createDataFrame([(0,), (10,), (20,)], "key long")
+    got = lookup.lookup(probe, indexed, "btree", "bws", semantics, payload=("text",))
+    assert got.columns == ["probe_id", "key", "pos", "text"]
+    want = sorted(map(tuple, got.collect()), key=str)
+    monkeypatch.setattr(lookup, "BROADCAST_KEYS", 1)
+    assert sorted(map(tuple, lookup.lookup(probe, indexed, "btree", "bws", semantics, payload=("text",)).collect()), key=str) == want
+
+
+def test_a_key_that_fills_ranges_is_dealt_out(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("key"), "id")
+    placed = positions.with_positions(df, "key").collect()
+    assert sorted(r.pos for r in placed) == list(range(4000))
+    assert [r.key for r in sorted(placed, key=lambda r: r.pos)] == sorted(r.key for r in placed)
+
+
+def test_experiment_description(spark):
+    assert [measure.config_text(x) for x in (True, None, 3, "x")] == ["true", "", "3", "x"]
+    seen = measure.experiment(spark, index="btree", sort=False)
+    assert seen["index"] == "btree" and seen["sort"] == "false" and seen["master"] == spark.sparkContext.master and int(seen["cores"]) > 0
+
+
+def test_large_samples_have_no_single_task(spark):
+    df = generators.sample_distinct(spark.range(5000).toDF("key"), 4000, 3)
+    assert df.count() == df.distinct().count() == 4000 and "TakeOrdered" not in plan(df) and "GlobalLimit" not in plan(df)
+    assert sorted(df.collect()) == sorted(generators.sample_distinct(spark.range(5000).toDF("key"), 4000, 3).collect())
+
+
+def test_shared_paths_go_with_the_driver(tmp_path):
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+from probeline.session import shared_path
+spark = SparkSession.builder.master("local[1]").config("spark.checkpoint.dir", "file://{tmp_path}").config("spark.ui.enabled", "false").getOrCreate()
+spark.range(5).write.parquet(shared_path(spark, "gone"))
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True)
+    for _ in range(100):  # the JVM ends a little after its driver
+        if not [*tmp_path.glob("probeline-*")]:
+            break
+        time.sleep(0.2)
+    assert not [*tmp_path.glob("probeline-*")]
