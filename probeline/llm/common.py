@@ -2,52 +2,70 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
+import os
+import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SPILLED: list[tuple[SparkSession, str]] = []
-_TABLES: list[tuple[SparkSession, str]] = []
+from probeline.session import hadoop_path, shared_path
 
+#: Garbage is collected no more often; jobs that are shorter leave little.
+GC_SECONDS = 8.0
+#: Bytes of an Arrow batch that goes to a Python worker.
+ARROW_BYTES = 4 << 20
+_collected = 0.0
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
 
-    It is read from the session (``spark.checkpoint.dir``).  Only where the
-    session names none, as in local tests, a temporary folder is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="probeline-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def spill(df: DataFrame, name: str) -> DataFrame:
+def spill(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     This cuts the lineage, so a lost executor costs no recomputation of what
-    stands above.  The tables go when the driver ends.
+    stands above.  release() deletes the table; what isn't released goes when
+    the driver ends, even if the session was stopped before.  large: what was
+    shuffled for it is much, and should go at once.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _SPILLED.append((spark, path))
+    path = shared_path(spark, name)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     del df
-    free_shuffles(spark)
-    return spark.read.schema(schema).parquet(path)
+    free_shuffles(spark, now=large)
+    out = spark.read.schema(schema).parquet(path)
+    out._spilled_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the tables of frames that spill() gave; nothing may read them after. Other frames are passed over."""
+    for df in tables:
+        if path := df.__dict__.pop("_spilled_to", None):
+            where, files = hadoop_path(df.sparkSession, path)
+            files.delete(where, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get texts in Arrow batches of ARROW_BYTES at most, unless the session asks for fewer; results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        have = spark.conf.get(name, "")
+        asked = int(have) if have.isdigit() else spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(have)
+    except Exception:  # a Spark without this setting
+        return
+    if not 0 < asked <= ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def free_shuffles(spark: SparkSession, now: bool = False) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, now or at most once in GC_SECONDS."""
+    global _collected
+    if now or time.monotonic() - _collected >= GC_SECONDS:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
 
 
 def bucketed(df: DataFrame, name: str, column: str) -> tuple[DataFrame, Callable[[], None]]:
@@ -56,35 +74,16 @@ def bucketed(df: DataFrame, name: str, column: str) -> tuple[DataFrame, Callable
     Also returns what deletes the table once nothing needs it any more.
     """
     spark = df.sparkSession
-    entry = (spark, f"probeline_{name}_{uuid.uuid4().hex}")
-    _TABLES.append(entry)
+    made = f"probeline_{name}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("compression", "zstd").bucketBy(buckets, column).saveAsTable(entry[1])
+    df.write.option("compression", "zstd").bucketBy(buckets, column).saveAsTable(made)
     del df
-    free_shuffles(spark)
-
-    def drop() -> None:
-        spark.sql(f"DROP TABLE IF EXISTS {entry[1]}")
-        _TABLES.remove(entry)
-
-    return spark.table(entry[1]), drop
-
-
-@atexit.register
-def _drop_spilled() -> None:
-    for spark, name in _TABLES:
-        try:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-        except Exception:
-            return
-    for spark, path in _SPILLED:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the JVM may have ended before us; the cluster's own clean-up takes the rest
-            return
-    _SPILLED.clear()
+    free_shuffles(spark, now=True)
+    out = spark.table(made)
+    where, files = hadoop_path(spark, os.path.dirname(out.inputFiles()[0])) if out.inputFiles() else (None, None)
+    if where is not None:
+        files.deleteOnExit(where)
+    return out, lambda: spark.sql(f"DROP TABLE IF EXISTS {made}") and None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

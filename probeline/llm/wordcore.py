@@ -33,11 +33,11 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         have = np.full(size, base, _U)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 1 << 22:
+        if size <= 1 << 21:
             _powers[base] = have
     return have[:n]
 
@@ -66,7 +66,7 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each piece holds at most about limit bytes of the column (one row at least)."""
     if batch.num_rows == 0:
         return
