@@ -16,25 +16,25 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probeline.llm.common import spill
+from probeline.llm.common import release, small_batches, spill
 from probeline.llm.components import components
 from probeline.llm.wordcore import SPACE, Words, mix, slices, window_hashes
 
 #: Elements of one task's sets that are counted together; one that so many of these sets hold is frequent.
-CHUNK, FREQUENT = 3_000_000, 2
+CHUNK, FREQUENT = 1_500_000, 2
 #: Frequent elements that are broadcast, at most (12 bytes each). They only order; the result doesn't depend on them.
 FREQUENT_MOST = 1 << 20
-#: How many of its sets each list is joined around in each round, before what is left of it is joined in pairs.
-CENTRES = (1, 8, 32)
+#: How many heads of its lists each set is compared with in each round, before what is still apart is joined in pairs.
+PICKS = (1, 2, 4)
 #: Light sets have at most so many elements, whatever the costs.
 LIGHT_MOST = 256
 #: Cost of meeting one entry of an inverted list, in emitted keys.
 MEET_COST = 2.0
-#: Cells of the histogram of a set by which most pairs are told apart.
-CELLS = 128
+#: Frequent elements from so many sets on have their lists dealt over several tasks.
+LONG_LIST, LIST_PARTS = 1 << 16, 64
 
 _U = np.uint64
 
@@ -59,31 +59,26 @@ def set_id(elements: np.ndarray) -> int:
     """A hash of a whole set, as a signed long."""
     if not len(elements):
         return 0
-    n = _U(len(elements))
-    return int(mix(np.array([(mix(elements ^ n * _U(0x9E3779B97F4A7C15))).sum(dtype=_U) ^ n]))[0].astype(np.int64))
+    n = np.array([len(elements)], _U)
+    return int(mix(mix(elements ^ n * _U(0x9E3779B97F4A7C15)).sum(keepdims=True, dtype=_U) ^ n)[0].astype(np.int64))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64) if x.dtype == _U else x.astype(np.int64)
 
 
-_MEASURE = pa.schema([("kind", pa.int8()), ("doc", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("cells", pa.binary())])
-
-
-def cells_of(elements: np.ndarray) -> bytes:
-    """How many elements of a set fall into each cell, 255 at most."""
-    return np.minimum(np.bincount((elements >> _U(40)).astype(np.int64) % CELLS, minlength=CELLS), 255).astype(np.uint8).tobytes()
+_MEASURE = pa.schema([("kind", pa.int8()), ("doc", pa.int64()), ("n", pa.int64()), ("sid", pa.int64())])
 
 
 def _measure(words_in: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """kind 0: a document, its set's size, id and histogram; 1: the key of a frequent element of a chunk (sid) and how many sets hold it (n)."""
+    """kind 0: a document, its set's size and id; 1: the key of a frequent element of a chunk (sid) and how many sets hold it (n)."""
 
     def chunk(sets: list[np.ndarray]) -> pa.RecordBatch:
         every, count = np.unique(np.concatenate(sets), return_counts=True)
         often = count >= FREQUENT
         k = int(often.sum())
         keys = _signed(element_keys(every[often]))
-        return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int8()), pa.nulls(k, pa.int64()), pa.array(count[often].astype(np.int64)), pa.array(keys), pa.nulls(k, pa.binary())], schema=_MEASURE)
+        return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int8()), pa.nulls(k, pa.int64()), pa.array(count[often].astype(np.int64)), pa.array(keys)], schema=_MEASURE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}  # equal sets count once
@@ -93,7 +88,7 @@ def _measure(words_in: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 sets = shingle_sets(batch, "text", words_in)
                 ids = [set_id(x) for x in sets]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([0] * len(sets), pa.int8()), batch.column(batch.schema.get_field_index("doc")), pa.array([len(x) for x in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([cells_of(x) for x in sets], pa.binary()),
+                    pa.array([0] * len(sets), pa.int8()), batch.column(batch.schema.get_field_index("doc")), pa.array([len(x) for x in sets], pa.int64()), pa.array(ids, pa.int64()),
                 ], schema=_MEASURE)
                 for i, x in zip(ids, sets, strict=True):
                     if len(x) and i not in held:
@@ -115,10 +110,11 @@ def element_keys(elements: np.ndarray) -> np.ndarray:
 
 @dataclass
 class _Order:
-    """The keys of frequent elements (sorted) and the place of each after all others."""
+    """The keys of frequent elements (sorted), the place of each after all others, and which of them have long lists."""
 
     frequent: np.ndarray
     place: np.ndarray
+    long: np.ndarray
     percent: int
     light: int
 
@@ -134,29 +130,36 @@ class _Order:
             return rare[:length]
         return np.concatenate([rare, elements[often][np.argsort(self.place[at[often]], kind="stable")][: length - len(rare)]])
 
-    def keys(self, elements: np.ndarray) -> np.ndarray:
-        """What a set meets others by.
+    def keys(self, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What a set meets others by, and the overlap that a partner can have at most if a key is the first that both have.
 
         Light sets emit pairs of elements; heavy ones, and light ones that are
         large enough to link with heavy ones, emit elements.
         """
         n = len(elements)
         spare = n - need(n, self.percent)
-        out = []
-        if n <= self.light:
-            if n == 1:
-                out.append(mix(elements + _U(1)))
-            else:
-                first = self.prefix(elements, spare + 2)
-                i, j = np.triu_indices(len(first), 1)
-                pair = np.sort(np.stack([first[i], first[j]]), axis=0)
-                out.append(mix(mix(pair[0]) + pair[1] * _U(0x9E3779B97F4A7C15) + _U(2)))
+        out, most = [], []
+        if 1 < n <= self.light:
+            first = self.prefix(elements, spare + 2)
+            i, j = np.triu_indices(len(first), 1)
+            pair = np.sort(np.stack([first[i], first[j]]), axis=0)
+            out.append(mix(mix(pair[0]) + pair[1] * _U(0x9E3779B97F4A7C15) + _U(2)))
+            most.append(n - j + 1)
         if n > self.light or 100 * n >= self.percent * (self.light + 1):
             out.append(element_keys(self.prefix(elements, spare + 1)))
-        return np.concatenate(out)
+            most.append(n - np.arange(len(out[-1])))
+        return np.concatenate([elements[:0], *out]), np.concatenate([np.zeros(0, np.int64), *most])
 
+    def parts(self, keys: np.ndarray, sid: int) -> np.ndarray:
+        """0 for most keys; where a list is known to be long, one of LIST_PARTS parts of it."""
+        if not len(self.long):
+            return np.zeros(len(keys), np.int16)
+        at = np.minimum(np.searchsorted(self.long, keys), len(self.long) - 1)
+        return np.where(self.long[at] == keys, 1 + sid % LIST_PARTS, 0).astype(np.int16)
 
-_KEYS = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("sid", pa.int64())])
+
+_KEYS = pa.schema([("key", pa.int64()), ("part", pa.int16()), ("n", pa.int32()), ("most", pa.int32()), ("sid", pa.int64())])
+_KEYS_DDL = "key long, part short, n int, most int, sid long"
 
 
 def _emit(order: Broadcast, words_in: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -165,50 +168,53 @@ def _emit(order: Broadcast, words_in: int) -> Callable[[Iterator[pa.RecordBatch]
         done: set[int] = set()  # equal sets of a task go once
         for whole in batches:
             for batch in slices(whole, "text"):
-                keys, ids, sizes = [], [], []
+                keys, parts, most, ids, sizes = [], [], [], [], []
                 for x in shingle_sets(batch, "text", words_in):
                     if len(x) and (i := set_id(x)) not in done:
                         done.add(i)
-                        keys.append(known.keys(x))
+                        own, rest = known.keys(x)
+                        keys.append(own)
+                        most.append(rest)
+                        parts.append(known.parts(own, i))
                         ids.append(i)
                         sizes.append(len(x))
                 if keys:
                     times = [len(k) for k in keys]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(_signed(np.concatenate(keys))), pa.array(np.repeat(np.array(sizes, np.int32), times)), pa.array(np.repeat(np.array(ids, np.int64), times))], schema=_KEYS
-                    )
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(_signed(np.concatenate(keys))), pa.array(np.concatenate(parts)), pa.array(np.repeat(np.array(sizes, np.int32), times)),
+                        pa.array(np.concatenate(most).astype(np.int32)), pa.array(np.repeat(np.array(ids, np.int64), times)),
+                    ], schema=_KEYS)
 
     return run
 
 
-_LISTS = _KEYS
-
-
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and set: those of keys that several sets have, each set once.
+    """Of rows sorted by key, part and set: those of keys that several sets have (parts of long lists all), each set once.
 
     Rows stream; a list of any length is never held.
     """
-    last: tuple[int, int, int] | None = None  # (key, size, set) of the row before
-    shown = False  # the row before is out already
+    last: tuple[np.ndarray, ...] | None = None  # the row before
+    shown = False  # it is out already
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, n, sid = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
         if last is not None:  # the row before goes in front, so that every row has its neighbours but the last
-            key, n, sid = np.r_[last[0], key], np.r_[np.int32(last[1]), n], np.r_[last[2], sid]
+            rows = [np.concatenate([x, y]) for x, y in zip(last, rows, strict=True)]
+        key, part, _, _, sid = rows
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
-        key, n, sid = key[new], n[new], sid[new]
+        rows = key, part, n, most, sid = [x[new] for x in rows]
         alike = np.zeros(len(key) + 1, bool)
         alike[1:-1] = key[1:] == key[:-1]
-        here = alike[:-1] | alike[1:]
+        here = alike[:-1] | alike[1:] | (part > 0)
         if last is not None and shown:
             here[0] = False
         # the last row waits only if it stands alone so far
-        last, shown = (int(key[-1]), int(n[-1]), int(sid[-1])), bool(here[-1]) or (len(key) == 1 and shown)
+        shown = bool(here[-1]) or (len(key) == 1 and shown)
+        last = tuple(x[-1:] for x in rows)
         if here.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[here]), pa.array(n[here].astype(np.int32)), pa.array(sid[here])], schema=_LISTS)
+            yield pa.RecordBatch.from_arrays([pa.array(x[here]) for x in rows], schema=_KEYS)
 
 
 #: Ids that are broadcast, at most; more are joined by a shuffle.
@@ -219,28 +225,12 @@ _SETS = pa.schema([("sid", pa.int64()), ("elements", pa.binary())])
 
 def _sets(words_in: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for whole in batches:
             for batch in slices(whole, "text"):
-                sets = shingle_sets(batch, "text", words_in)
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], schema=_SETS)
-
-    return run
-
-
-def _possible(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs whose histograms differ by no more than linked sets can."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int32) for i in (2, 3))
-            apart = np.abs(a - b).sum(axis=1)
-            total = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-            # overlap o links if (100 + percent) * o >= percent * total; what is apart is at least total - 2 * o
-            keep = (100 + percent) * (total - apart) >= 2 * percent * total
-            kept = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+                sets = {i: x for x in shingle_sets(batch, "text", words_in) if (i := set_id(x)) not in done}
+                done.update(sets)
+                yield pa.RecordBatch.from_arrays([pa.array([*sets], pa.int64()), pa.array([x.tobytes() for x in sets.values()], pa.binary())], schema=_SETS)
 
     return run
 
@@ -299,18 +289,21 @@ def _key_of(id_col: str):
 def jaccard_links(docs: DataFrame, words_in: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> JaccardJoin:
     """Links between different shingle sets, 100 * intersection >= percent * union, enough to give every component.
 
-    Equal sets are one from the start.  Each list of sets that share a key is
-    first joined around its sets of most and longest lists, CENTRES of them a
-    round, always against what isn't in their components yet; a set that has been a
-    centre has met all of its list.  Only pairs that are still in different
-    components are then compared, so that a group of near copies costs some
-    times as many comparisons as it has members, not their square.
+    Equal sets are one from the start.  Sets that share a key form its list.  In
+    each round every list has a head; each set is compared with those few heads
+    that it meets most often, of lists in which it is still apart from them.
+    Sets that are found linked are in one component from then on, and only pairs
+    of different components are compared at last: so a group of near copies
+    costs some times as many comparisons as it has members, not their square.
+    A pair meets only under keys at which, were they the first that both have,
+    the rest of either set could still overlap enough.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(_key_of(id_col).alias("doc"), F.col(text_col).alias("text"))
-    measured = spill(rows.mapInArrow(_measure(words_in), "kind byte, doc long, n long, sid long, cells binary"), "shingle-sets")
+    measured = spill(rows.mapInArrow(_measure(words_in), "kind byte, doc long, n long, sid long"), "shingle-sets")
     documents = measured.where("kind = 0").select("doc", "n", "sid")
-    reps = spill(measured.where("kind = 0 and n > 0").groupBy("sid").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.any_value("cells").alias("cells")), "set-reps")
+    reps = spill(measured.where("kind = 0 and n > 0").groupBy("sid").agg(F.min("doc").alias("doc"), F.min("n").alias("n")), "set-reps")
     often = spill(measured.where("kind = 1").groupBy(F.col("sid").alias("key")).agg(F.sum("n").alias("n")), "frequent-elements")
 
     # the least count that no more than FREQUENT_MOST elements reach, by powers of 2
@@ -323,62 +316,78 @@ def jaccard_links(docs: DataFrame, words_in: int = 5, percent: int = 80, id_col:
     table = often.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("key", "ascending")])
     frequent = table["key"].to_numpy().view(_U)
     by_hash = np.argsort(frequent)
+    long = np.sort(frequent[table["n"].to_numpy() >= LONG_LIST])
     # how many others an entry of a list meets, on average over all entries that aren't frequent
     entries = reps.agg(F.sum("n")).first()[0] or 1
     meets = (often.where(F.col("n") < least).agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0) / entries
     # one row a size, LIGHT_MOST at most
     sizes = {r.n: r["count"] for r in reps.where(F.col("n") <= LIGHT_MOST).groupBy("n").count().collect()}
     light = light_boundary(sizes, 0, meets, percent)
-    order = spark.sparkContext.broadcast(_Order(frequent[by_hash], (len(frequent) - np.arange(len(frequent)))[by_hash].astype(np.int32), percent, light))
+    order = spark.sparkContext.broadcast(_Order(frequent[by_hash], (len(frequent) - np.arange(len(frequent)))[by_hash].astype(np.int32), long, percent, light))
+    release(often)
+
+    keys = rows.select("text").mapInArrow(_emit(order, words_in), _KEYS_DDL)
+    sorted_keys = keys.repartition("key", "part").sortWithinPartitions("key", "part", "sid")
+    lists = spill(sorted_keys.mapInArrow(_lists, _KEYS_DDL).drop("part"), "inverted-lists")
+    open_ = lists.withColumn("root", F.col("sid"))
+
+    def apart(p: str, q: str) -> Column:
+        """Of different components, of sizes that may link, and with enough left behind the key."""
+        a, b = (lambda x: F.col(f"{p}.{x}")), (lambda x: F.col(f"{q}.{x}"))
+        return (
+            (a("root") != b("root")) & (F.greatest(a("n"), b("n")) * percent <= F.least(a("n"), b("n")) * 100)
+            & (F.least(a("most"), b("most")) * (100 + percent) >= (a("n") + b("n")) * percent)
+        )
 
-    keys = rows.select("text").mapInArrow(_emit(order, words_in), "key long, n int, sid long")
-    sorted_keys = keys.repartition("key").sortWithinPartitions("key", "sid")
-    lists = spill(sorted_keys.mapInArrow(_lists, "key long, n int, sid long"), "inverted-lists")
-    # the more and the longer lists a set is in, the more sets it is likely to link with
-    lengths = lists.groupBy("key").agg(F.count("*").alias("length"))
-    weights = lists.join(lengths, "key").groupBy("sid").agg(F.sum("length").alias("weight"))
-    open_ = spill(lists.join(weights, "sid").select("key", "n", "sid", "weight", F.col("sid").alias("root")), "open-lists")
-
-    compatible = lambda x, y: F.greatest(x, y) * percent <= F.least(x, y) * 100
     links = tested = None
-    for turn in range(len(CENTRES) + 1):
-        if turn < len(CENTRES):
-            # some sets of each list against all others of it that aren't in their components yet
-            ranked = open_.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "sid")))
-            ranked = spill(ranked, "ranked-lists")
-            centres = ranked.where(F.col("rank") <= CENTRES[turn]).select("key", F.struct("sid", "n", "root", "rank").alias("c"))
-            met = ranked.join(centres, "key").where((F.col("rank") > F.col("c.rank")) & (F.col("root") != F.col("c.root")) & compatible(F.col("n"), F.col("c.n")))
-            pairs = met.select(F.least("sid", "c.sid").alias("a"), F.greatest("sid", "c.sid").alias("b")).distinct()
-            rest = ranked.where(F.col("rank") > CENTRES[turn]).select("key", "n", "sid", "weight")
+    rounds = []
+    pair = [F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")]
+    for turn, picks in enumerate([*PICKS, None]):
+        if picks:
+            # the head: first the set with the fewest rarer elements before the key, later any, but the same in many lists
+            place = F.col("most") - F.col("n") if turn == 0 else F.lit(0)
+            row = F.struct(place.alias("place"), F.xxhash64("sid", F.lit(turn)).alias("chance"), "sid", "n", "most", "root")
+            heads = open_.groupBy("key").agg(F.max(row).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "h.*")
+            met = open_.alias("p").join(heads.alias("q"), (F.col("p.key") == F.col("q.key")) & apart("p", "q"))
+            votes = met.groupBy(F.col("p.sid").alias("sid"), F.col("q.sid").alias("other")).agg(F.count("*").alias("votes")).select("sid", "votes", "other", *pair)
+            if tested is not None:
+                votes = votes.join(tested, ["a", "b"], "left_anti")
+            best = F.slice(F.sort_array(F.collect_list(F.struct("votes", "a", "b")), asc=False), 1, picks)
+            pairs = votes.groupBy("sid").agg(best.alias("best")).select(F.explode("best").alias("x")).select("x.a", "x.b").distinct()
         else:
-            p, q = open_.alias("p"), open_.alias("q")
-            met = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.sid") < F.col("q.sid")) & (F.col("p.root") != F.col("q.root")) & compatible(F.col("p.n"), F.col("q.n")))
+            met = open_.alias("p").join(open_.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.sid") < F.col("q.sid")) & apart("p", "q"))
             pairs = met.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")).distinct()
-        pairs = spill(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = spill(pairs, "pairs")
+        rounds.append(pairs)
         found = _verify(rows, reps, pairs, words_in, percent)
         links = found if links is None else links.unionByName(found)
-        if turn < len(CENTRES):
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            roots = components(links).withColumnRenamed("node", "sid")
-            placed = rest.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-            split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-            open_ = spill(placed.join(split, "key", "left_semi").select("key", "n", "sid", "weight", "root"), "open-lists")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if picks:
+            # not settled in so few turns, but what has one root is in one component
+            roots = components(links, turns=2)
+            placed = open_.drop("root").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+            placed = spill(placed, "placed-lists")
+            split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+            left = spill(placed.join(split, "key", "left_semi"), "open-lists")
+            release(roots, placed, lists if turn == 0 else open_)
+            open_ = left
+    release(open_, *rounds)
     return JaccardJoin(documents, reps, links, light)
 
 
 def _verify(rows: DataFrame, reps: DataFrame, pairs: DataFrame, words_in: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link: by their histograms first, then by their whole sets."""
-    brief = reps.select("sid", "n", "cells")
-    near = pairs.join(brief.toDF("a", "n_a", "cells_a"), "a").join(brief.toDF("b", "n_b", "cells_b"), "b").select("a", "b", "cells_a", "cells_b", "n_a", "n_b")
-    near = spill(near.mapInArrow(_possible(percent), "a long, b long"), "possible-pairs")
-    sids = spill(near.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "pair-ids")
-    wanted = reps.join(sids, "sid").select("doc").distinct()
+    """Those of the pairs (a, b) that link, by their whole sets."""
+    sids = spill(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "pair-ids")
     few = sids.count() <= BROADCAST_IDS
+    wanted = reps.join(F.broadcast(sids) if few else sids, "sid").select("doc").distinct()
     texts = rows.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi").select("text")
     sets = texts.mapInArrow(_sets(words_in), "sid long, elements binary")
     sets = spill(sets.join(F.broadcast(sids) if few else sids, "sid", "left_semi"), "pair-sets")
-    both = near.join(sets.toDF("a", "elements_a"), "a").join(sets.toDF("b", "elements_b"), "b").select("a", "b", "elements_a", "elements_b")
-    return spill(both.mapInArrow(_linked(percent), "a long, b long"), "links")
+    both = pairs.join(sets.toDF("a", "elements_a"), "a").join(sets.toDF("b", "elements_b"), "b").select("a", "b", "elements_a", "elements_b")
+    out = spill(both.mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
+    release(sids, sets)
+    return out
 
 
 def jaccard_components(docs: DataFrame, words_in: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
