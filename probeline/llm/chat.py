@@ -10,7 +10,7 @@ attributes and no names but those given, so a template reaches nothing else.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from typing import Any
 
@@ -25,8 +25,12 @@ _PART = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.S)
 _WORDS = {"and", "or", "not", "in", "if", "else", "true", "false", "none"}
 
 
+#: Brackets and blocks that may stand in each other; characters that one rendering may give.
+MOST_NESTED, MOST_CHARS = 40, 1 << 32
+
+
 class TemplateError(ValueError):
-    pass
+    """All that a template can do wrong, when it is compiled or rendered."""
 
 
 def _lex(source: str) -> list[tuple[str, str]]:
@@ -45,7 +49,7 @@ class _Expression:
     """Recursive descent over one expression; nodes are tuples whose first item names them."""
 
     def __init__(self, source: str):
-        self.tokens, self.at = _lex(source), 0
+        self.tokens, self.at, self.depth = _lex(source), 0, 0
 
     def peek(self, *values: str) -> bool:
         return self.at < len(self.tokens) and self.tokens[self.at][0] in ("op", "word") and self.tokens[self.at][1] in values
@@ -67,6 +71,14 @@ class _Expression:
         return node
 
     def choice(self) -> tuple:
+        self.depth += 1
+        if self.depth > MOST_NESTED:
+            raise TemplateError("too deeply nested")
+        node = self._choice()
+        self.depth -= 1
+        return node
+
+    def _choice(self) -> tuple:
         then = self.either()
         if self.take("if"):
             test = self.either()
@@ -157,6 +169,8 @@ def parse(source: str) -> list[tuple]:
         return stack.pop()[2]
 
     for m in [*_PART.finditer(source), None]:
+        if len(stack) > MOST_NESTED:
+            raise TemplateError("too deeply nested")
         if text := source[at : m.start() if m else len(source)]:
             stack[-1][1].append(("text", text))
         if m is None:
@@ -259,6 +273,33 @@ def _shown(value: Any) -> str:
     return "" if value is None else str(value)
 
 
+def _added(a: Any, b: Any) -> Any:
+    """Numbers add up; all else is joined as text."""
+    return a + b if type(a) is type(b) is int else _shown(a) + _shown(b)
+
+
+def _within(a: Any, b: Any) -> bool:
+    """A text in a text, or a value in a list or among the names of a mapping; nothing is in anything else."""
+    if isinstance(b, str):
+        return isinstance(a, str) and a in b
+    return any(type(x) is type(a) and x == a for x in b) if isinstance(b, list | tuple | dict) else False
+
+
+def _evaluated(node: tuple, filters: dict[str, Callable]) -> Callable[[dict], Any]:
+    """The closure of a whole expression; whatever goes wrong in it is the template's fault."""
+    inner = _evaluate(node, filters)
+
+    def run(scope: dict) -> Any:
+        try:
+            return inner(scope)
+        except TemplateError:
+            raise
+        except (TypeError, ValueError, AttributeError, LookupError, RecursionError) as e:
+            raise TemplateError(f"an expression fails: {e}") from e
+
+    return run
+
+
 def _evaluate(node: tuple, filters: dict[str, Callable]) -> Callable[[dict], Any]:
     kind = node[0]
     if kind == "value":
@@ -281,17 +322,19 @@ def _evaluate(node: tuple, filters: dict[str, Callable]) -> Callable[[dict], Any
     if kind == "get":
 
         def get(scope: dict) -> Any:
-            holder = a(scope)
-            return holder.get(b(scope)) if isinstance(holder, dict) else None
+            holder, key = a(scope), b(scope)
+            if isinstance(holder, list | tuple) and type(key) is int:
+                return holder[key] if 0 <= key < len(holder) else None
+            return holder.get(key) if isinstance(holder, dict) and isinstance(key, str | int) else None
 
         return get
     return {
         "==": lambda scope: a(scope) == b(scope),
         "!=": lambda scope: a(scope) != b(scope),
-        "in": lambda scope: a(scope) in (b(scope) or ()),
+        "in": lambda scope: _within(a(scope), b(scope)),
         "and": lambda scope: a(scope) and b(scope),
         "or": lambda scope: a(scope) or b(scope),
-        "+": lambda scope: _shown(a(scope)) + _shown(b(scope)) if not isinstance(a(scope), int) else a(scope) + b(scope),
+        "+": lambda scope: _added(a(scope), b(scope)),
     }[kind]
 
 
@@ -306,18 +349,18 @@ def _block(nodes: list[tuple], filters: dict[str, Callable]) -> Render:
         if kind == "text":
             steps.append(lambda scope, mask, text=node[1]: iter(((text, mask),)))
         elif kind == "out":
-            steps.append(lambda scope, mask, f=_evaluate(node[1], filters): iter(((_shown(f(scope)), mask),)))
+            steps.append(lambda scope, mask, f=_evaluated(node[1], filters): iter(((_shown(f(scope)), mask),)))
         elif kind == "generation":
             steps.append(lambda scope, mask, body=_block(node[1], filters): body(scope, True))
         elif kind == "set":
 
-            def put(scope: dict, mask: bool, name: str = node[1], f=_evaluate(node[2], filters)) -> Fragments:
+            def put(scope: dict, mask: bool, name: str = node[1], f=_evaluated(node[2], filters)) -> Fragments:
                 scope[name] = f(scope)
                 return iter(())
 
             steps.append(put)
         elif kind == "if":
-            arms = [(_evaluate(t, filters), _block(b, filters)) for t, b in node[1]]
+            arms = [(_evaluated(t, filters), _block(b, filters)) for t, b in node[1]]
 
             def branch(scope: dict, mask: bool, arms=arms) -> Fragments:
                 for test, body in arms:
@@ -328,8 +371,11 @@ def _block(nodes: list[tuple], filters: dict[str, Callable]) -> Render:
             steps.append(branch)
         else:
 
-            def loop(scope: dict, mask: bool, name: str = node[1], items=_evaluate(node[2], filters), body=_block(node[3], filters)) -> Fragments:
-                for i, item in enumerate(items(scope) or ()):
+            def loop(scope: dict, mask: bool, name: str = node[1], items=_evaluated(node[2], filters), body=_block(node[3], filters)) -> Fragments:
+                each = items(scope)
+                if each is not None and not isinstance(each, Iterable):
+                    raise TemplateError(f"{name} can't go through {_shown(each)[:20]!r}")
+                for i, item in enumerate(() if each is None else each):
                     yield from body(scope | {name: item, "loop": {"index": i + 1, "index0": i, "first": i == 0}}, mask)
 
             steps.append(loop)
@@ -342,9 +388,28 @@ def _block(nodes: list[tuple], filters: dict[str, Callable]) -> Render:
 
 
 def compile_template(source: str, filters: dict[str, Callable[[Any], Any]]) -> Callable[..., Fragments]:
-    """A function that renders given names as fragments (text, is it under the loss mask), lazily."""
-    body = _block(fold(parse(source), filters), filters)
-    return lambda **names: body(dict(names), False)
+    """A function that renders given names as fragments (text, is it under the loss mask), lazily.
+
+    A template sees the given names and filters alone.  What it does wrong is a
+    TemplateError: when it is compiled, if that shows then, else when it is
+    rendered; so is nesting beyond MOST_NESTED and output beyond MOST_CHARS.
+    """
+    try:
+        body = _block(fold(parse(source), filters), filters)
+    except TemplateError:
+        raise
+    except (TypeError, ValueError, AttributeError, LookupError, RecursionError) as e:
+        raise TemplateError(f"the template can't be compiled: {e}") from e
+
+    def render(**names: Any) -> Fragments:
+        left = MOST_CHARS
+        for text, mask in body(dict(names), False):
+            left -= len(text)
+            if left < 0:
+                raise TemplateError("the output is too long")
+            yield text, mask
+
+    return render
 
 
 # ------------------------------------------------- escaping and reading back
