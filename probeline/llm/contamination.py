@@ -11,10 +11,13 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probeline.llm.common import release, small_batches, spill
 from probeline.llm.wordcore import NON_ALNUM, Words, slices, window_hashes
 
 #: Bytes of benchmark text in one broadcast index; a larger benchmark goes in several blocks.
 BLOCK_BYTES = 16 << 20
+#: Blocks that one pass over the documents has in memory; after each but the last pass they are written.
+BLOCKS_AT_ONCE = 4
 
 
 class _Index:
@@ -24,8 +27,8 @@ class _Index:
         texts = pa.array([t or "" for _, t in items], pa.string())
         words = Words(texts, NON_ALNUM)
         hashes = words.hashes()
-        self.text: dict[int, bytes] = {}
-        owners: dict[int, set] = defaultdict(set)
+        # the windows of each hash, which may be several, with their items
+        self.windows: dict[int, dict[bytes, set]] = defaultdict(dict)
         by_length: dict[int, set] = defaultdict(set)
         for i, (item, _) in enumerate(items):
             a, b = int(words.first[i]), int(words.first[i + 1])
@@ -33,28 +36,27 @@ class _Index:
                 continue
             n = min(length, b - a)
             for j, h in enumerate(window_hashes(hashes[a:b], n).tolist()):
-                self.text[h] = b" ".join(words.word(x) for x in range(a + j, a + j + n))
+                own = self.windows[h].setdefault(b" ".join(words.word(x) for x in range(a + j, a + j + n)), set())
                 by_length[n].add(h)
                 if item is not None:
-                    owners[h].add(item)
-        self.owners = {h: sorted(x) for h, x in owners.items()}
+                    own.add(item)
         self.sorted = {n: np.array(sorted(x), np.uint64) for n, x in by_length.items()}
         self.bits = {}
         for n, x in self.sorted.items():
             self.bits[n] = np.zeros(1 << 20, bool)
             self.bits[n][(x & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def hits(self, words: Words) -> Iterator[tuple[int, int, int]]:
-        """(first word, length, hash) of each window of the texts that is one of the index, its words compared."""
+    def hits(self, words: Words) -> Iterator[tuple[int, int, set]]:
+        """(first word, length, items) of each window of the texts that is one of the index, its words compared."""
         hashes, doc = words.hashes(), words.documents()
         for n, known in self.sorted.items():
             w = window_hashes(hashes, n)
             at = np.flatnonzero(self.bits[n][(w & np.uint64((1 << 20) - 1)).astype(np.int64)] & (doc[: len(w)] == doc[n - 1 :][: len(w)]))
             place = np.minimum(np.searchsorted(known, w[at]), len(known) - 1)
             for i in at[known[place] == w[at]].tolist():
-                h = int(w[i])
-                if self.text[h] == b" ".join(words.word(x) for x in range(i, i + n)):
-                    yield i, n, h
+                own = self.windows[int(w[i])].get(b" ".join(words.word(x) for x in range(i, i + n)))
+                if own is not None:
+                    yield i, n, own
 
 
 def _scan(index: Broadcast, text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -68,10 +70,10 @@ def _scan(index: Broadcast, text_col: str) -> Callable[[Iterator[pa.RecordBatch]
                 items = [set(x or ()) for x in batch.column(at("hit_items")).to_pylist()]
                 edges = np.zeros(len(words) + 1, np.int64)
                 owner = words.documents()
-                for i, n, h in found.hits(words):
+                for i, n, own in found.hits(words):
                     edges[i] += 1
                     edges[i + n] -= 1
-                    items[owner[i]].update(found.owners.get(h, ()))
+                    items[owner[i]].update(own)
                 hit = np.cumsum(edges)[:-1] > 0
                 at_hit = np.flatnonzero(hit)
                 if len(at_hit):
@@ -118,13 +120,14 @@ def find_contamination(
     with occurring windows), n_hit long.
 
     The windows of at most `block_bytes` of benchmark text are broadcast at a
-    time; a larger benchmark is dealt into blocks by hash and each block passes
-    over the documents in the same stage, without a shuffle.  A null text has
+    time; a larger benchmark is dealt into blocks by hash, BLOCKS_AT_ONCE of
+    which pass over the documents in one stage, without a shuffle.  A null text has
     no words; items without words mark nothing; items with a null id mark words
     but are in no list; repeated items and documents count as they stand.
     Columns of docs named like the new ones are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
@@ -134,10 +137,18 @@ def find_contamination(
         F.array().cast("array<struct<first:bigint,stop:bigint>>").alias("hit_spans"),
         F.array().cast("array<bigint>").alias("hit_items"),
     )
+    held, before = [], out
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         index = _Index([(r["item"], r["text"]) for r in part.distinct().collect()], length)
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(index), text_col), out.schema)
+        held.append(spark.sparkContext.broadcast(index))
+        out = out.mapInArrow(_scan(held[-1], text_col), out.schema)
+        if len(held) == BLOCKS_AT_ONCE and b + 1 < blocks:
+            out = spill(out, "scanned")
+            for x in held:
+                x.destroy()
+            release(before)
+            before, held = out, []
     return out.withColumn("n_hit", F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["first"]))
 
 
