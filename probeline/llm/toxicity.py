@@ -9,17 +9,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probeline.llm.common import spill
+from probeline.llm.common import small_batches, spill
 
 #: Labelled rows that a model is fitted on, at most (the first in the order of a hash of the id).
 SAMPLE_ROWS = 8000
-#: Terms that may become features, at most (those of the most toxic texts, net of clean ones).
-CANDIDATES = 20_000
-#: Features that a model has, at most.
-FEATURES = 400
 #: Weight of the squared change of score under a swap, against the mean log loss.
 SWAP_PENALTY = 1.0
 
@@ -70,7 +67,7 @@ class ToxicityModel:
 
     def score(self, text: str | None) -> float:
         memo, found = self.memo, set()
-        if len(memo) > 1 << 18:
+        if len(memo) > 1 << 16:
             memo.clear()
         for w in text_words(text):
             own = memo.get(w)
@@ -92,26 +89,30 @@ def swapped_sentences(text: str, terms: tuple[tuple[str, ...], ...] = IDENTITY_T
                     yield sentence, re.sub(rf"\b{re.escape(named)}\b", other, sentence)
 
 
+#: (candidate features that a swap takes, those that it gives).
+Change = tuple[tuple[str, ...], tuple[str, ...]]
+
+
 @dataclass
 class _Example:
-    """What fitting needs of a labelled text: its candidate features, and those that swaps take and give."""
+    """What fitting needs of a labelled text: its candidate features."""
 
     label: int
     terms: set[str]
-    swaps: list[tuple[set[str], set[str]]]
 
 
 def _identity(terms: tuple[tuple[str, ...], ...]) -> set[str]:
     return {"=" + t for group in terms for t in group}
 
 
-def _example(text: str, label: int, kept: set[str], terms: tuple[tuple[str, ...], ...]) -> _Example:
-    swaps = []
+def _changes(text: str, kept: set[str], terms: tuple[tuple[str, ...], ...]) -> Counter:
+    """How often the swaps of a text's sentences change its candidate features in each way."""
+    out: Counter = Counter()
     for before, after in swapped_sentences(text, terms):
         a, b = text_terms(before) & kept, text_terms(after) & kept
         if a != b:
-            swaps.append((a - b, b - a))
-    return _Example(label, text_terms(text) & kept, swaps)
+            out[(tuple(sorted(a - b)), tuple(sorted(b - a)))] += 1
+    return out
 
 
 def _least(n_toxic: int, n_all: int, frequent: int) -> float:
@@ -120,7 +121,7 @@ def _least(n_toxic: int, n_all: int, frequent: int) -> float:
     return max(3.0, np.log(max(frequent, 1)) / -np.log(min(rate, 0.9)))
 
 
-def _select(examples: list[_Example], clean: dict[str, int], least: float, most: int) -> list[str]:
+def _select(examples: list[_Example], clean: dict[str, int], least: float) -> list[str]:
     """Features that tell the labels apart, one after the other.
 
     Each next one has the greatest weight of toxic texts, net of clean texts;
@@ -137,7 +138,7 @@ def _select(examples: list[_Example], clean: dict[str, int], least: float, most:
     weight = dict.fromkeys((i for i, e in enumerate(examples) if e.label), 1.0)
     gain = {t: float(len(at)) for t, at in where.items()}
     out: list[str] = []
-    while len(out) < most and gain:
+    while gain:
         best = max(gain, key=lambda t: (gain[t] - 2 * clean[t], len(t) if t[0] == "^" else 0, t))
         if gain.pop(best) - 2 * clean[best] < least / 2:
             break
@@ -151,21 +152,21 @@ def _select(examples: list[_Example], clean: dict[str, int], least: float, most:
     return out
 
 
-def _fit(examples: list[_Example], clean: dict[str, int], least: float, identity: set[str], penalty: float, most: int, steps: int = 100) -> ToxicityModel:
+def _fit(examples: list[_Example], changes: dict[Change, int], clean: dict[str, int], least: float, identity: set[str], penalty: float, steps: int = 100) -> ToxicityModel:
     y = np.array([e.label for e in examples], float)
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
         return ToxicityModel({}, float(np.log(share / (1 - share))))
-    names = _select(examples, clean, least, most)
+    names = _select(examples, clean, least)
     names += sorted({t for e in examples for t in e.terms & identity} - set(names))
     at = {t: i for i, t in enumerate(names)}
     x = np.zeros((len(examples), len(names) + 1))
     x[:, -1] = 1
-    change: Counter = Counter()
     for i, e in enumerate(examples):
         x[i, [at[t] for t in e.terms & at.keys()]] = 1
-        for gone, new in e.swaps:
-            change[(tuple(sorted(at[t] for t in gone & at.keys())), tuple(sorted(at[t] for t in new & at.keys())))] += 1
+    change: Counter = Counter()
+    for sides, n in changes.items():
+        change[tuple(tuple(sorted(at[t] for t in side if t in at)) for side in sides)] += n
     d = np.zeros((len(change), len(names) + 1))
     for i, (gone, new) in enumerate(change):
         d[i, list(gone)] = -1
@@ -186,7 +187,7 @@ def _fit(examples: list[_Example], clean: dict[str, int], least: float, identity
     return ToxicityModel({t: float(w[i]) for t, i in at.items()}, float(w[-1]))
 
 
-def fit(texts: list[str], labels: list[int], terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = SWAP_PENALTY, most: int = FEATURES) -> ToxicityModel:
+def fit(texts: list[str], labels: list[int], terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = SWAP_PENALTY) -> ToxicityModel:
     """Logistic regression on selected features and on the identity terms that occur.
 
     The loss is the mean log loss (both labels weighing the same), a small
@@ -202,7 +203,8 @@ def fit(texts: list[str], labels: list[int], terms: tuple[tuple[str, ...], ...]
     least = _least(sum(labels), len(labels), sum(n >= 3 for n in counts[1].values()))
     clean = {t: counts[0][t] for t, n in counts[1].items() if n - 2 * counts[0][t] >= least}
     kept = clean.keys() | _identity(terms)
-    return _fit([_example(x, y, kept, terms) for x, y in zip(texts, labels, strict=True)], clean, least, _identity(terms), penalty, most)
+    changes = sum((_changes(x, kept, terms) for x in texts), Counter())
+    return _fit([_Example(y, text_terms(x) & kept) for x, y in zip(texts, labels, strict=True)], dict(sorted(changes.items())), clean, least, _identity(terms), penalty)
 
 
 def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,15 +217,17 @@ def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def train(
     docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample_rows: int = SAMPLE_ROWS, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS,
-    penalty: float = SWAP_PENALTY, most: int = FEATURES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    penalty: float = SWAP_PENALTY, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> ToxicityModel:
     """`fit` on labelled documents, `sample_rows` of them at most (the first by a hash of the id).
 
     `usable` is a condition on labels' rows.  The ids are chosen from the
     labels alone, so only the chosen texts are moved; their terms are counted
-    by the executors, and only those that may become features (CANDIDATES at
-    most) reach the driver.  Rows with a null id, label or text are passed
-    over; equal texts count once, as the label most of them have.
+    by the executors, and only those that may become features reach the driver,
+    with the different changes that swaps make to them and how often; all of it
+    is bounded by the sample.  Rows with a null id, label or text are passed
+    over; of several labels of one id the largest counts; equal texts count
+    once, as the label most of them have.
     """
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     rows = rows if usable is None else rows.where(usable)
@@ -236,26 +240,34 @@ def train(
     n_all, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     counts = spill(sample.mapInPandas(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-terms")
     least = _least(n_toxic, n_all, counts.where("toxic >= 3").count())
-    worth = counts.where(F.col("toxic") - 2 * F.col("clean") >= least).orderBy(F.desc(F.col("toxic") - 2 * F.col("clean")), "term").limit(CANDIDATES)
+    worth = counts.where(F.col("toxic") - 2 * F.col("clean") >= least).orderBy("term")
     clean = {r.term: r.clean for r in worth.collect()}
     kept = set(clean) | _identity(terms)
     shared = docs.sparkSession.sparkContext.broadcast(kept)
 
     def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            own = [_example(t, y, shared.value, terms) for t, y in zip(pdf["text"], pdf["label"], strict=True)]
-            yield pd.DataFrame({"label": pdf["label"].to_numpy(), "terms": [sorted(e.terms) for e in own], "swaps": [[[sorted(a), sorted(b)] for a, b in e.swaps] for e in own]})
+            yield pd.DataFrame({"label": pdf["label"].to_numpy(), "terms": [sorted(text_terms(t) & shared.value) for t in pdf["text"]]})
+
+    def swaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found: Counter = Counter()
+            for t in pdf["text"]:
+                found.update(_changes(t, shared.value, terms))
+            yield pd.DataFrame([(list(gone), list(new), n) for (gone, new), n in found.items()], columns=["gone", "new", "n"])
 
-    found = sample.mapInPandas(examples, "label int, terms array<string>, swaps array<array<array<string>>>").collect()
-    ordered = sorted(found, key=lambda r: (r.label, r.terms, r.swaps))
-    return _fit([_Example(r.label, set(r.terms), [(set(a), set(b)) for a, b in r.swaps]) for r in ordered], clean, least, _identity(terms), penalty, most)
+    found = sample.mapInPandas(examples, "label int, terms array<string>").collect()
+    changed = sample.mapInPandas(swaps, "gone array<string>, new array<string>, n long").groupBy("gone", "new").agg(F.sum("n").alias("n")).collect()
+    ordered = sorted(found, key=lambda r: (r.label, r.terms))
+    changes = dict(sorted(((tuple(r.gone), tuple(r.new)), r.n) for r in changed))
+    return _fit([_Example(r.label, set(r.terms)) for r in ordered], changes, clean, least, _identity(terms), penalty)
 
 
 def _scorer(shared) -> Callable:
-    def score_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        for texts in batches:
-            yield pd.Series([model.score(t) for t in texts], dtype="float64")
+        for texts in batches:  # one text at a time becomes a Python string
+            yield pa.array([model.score(t.as_py()) for t in texts], pa.float64())
 
     return score_batches
 
@@ -263,8 +275,9 @@ def _scorer(shared) -> Callable:
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """Adds the score of every whole text, from 0 to 1; a null text scores as an empty one.
 
-    The model (at most FEATURES selected features and the identity terms) is
-    broadcast.  A column of docs with the new one's name is replaced.
+    The model (the selected features, which the sample bounds, and the identity
+    terms) is broadcast.  A column of docs with the new one's name is replaced.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.withColumn(score_col, F.pandas_udf(_scorer(shared), "double")(F.col(text_col)))
+    return docs.withColumn(score_col, F.arrow_udf(_scorer(shared), "double")(F.col(text_col)))

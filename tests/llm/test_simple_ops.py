@@ -1,6 +1,7 @@
 """Sharding, decontamination, packing, chat formatting and toxicity against plain Python."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from probeline.llm import chat, contamination, packing, queries, sharding, toxicity
 
@@ -271,3 +273,79 @@ def test_special_string_has_the_id_of_a_plain_call():
     for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext|", "none"):
         want = plain.encode(text, add_special_tokens=False).ids
         assert packing._encoder(queries.tokenizer_path())(text) == packing._encoder(path)(text) == want
+
+
+@pytest.mark.parametrize("source", ["{% for x in 3 %}a{% endfor %}", "{{ messages[loop] | guard }}", "{{ x | nope }}", "{{ (" + "(" * 3000 + "1" + ")" * 3001 + " }}", "{{ 1" + " + 1" * 3000 + " }}", "{% if a %}" * 3000 + "{% endif %}" * 3000, "{{ a b }}", "{% for x y %}{% endfor %}", "{{ boom | fails }}"])
+def test_templates_fail_as_templates(source):
+    def fails(x):
+        raise TypeError("no")
+
+    with pytest.raises(chat.TemplateError):
+        list(chat.compile_template(source, {"guard": lambda x: x + 1, "fails": fails})(messages=["a"], loop="b"))
+
+
+def test_templates_add_and_look_up():
+    shown = lambda source, **names: "".join(t for t, _ in chat.compile_template(source, {})(**names))
+    assert shown("{% for x in xs %}{{ loop.index + '. ' + x }}{% endfor %}", xs=["a", "b"]) == "1. a2. b"
+    assert shown("{{ 1 in x }}{{ 'b' in x }}", x="abc") == "FalseTrue" and shown("{{ 1 in x }}", x=[1]) == "True"
+    assert shown("{{ x[y] }}{{ y[1] }}", x={"a": 1}, y=["a", 7]) == "7" and shown("{{ 1 + 2 }}") == "3"
+
+
+def test_output_is_limited(monkeypatch):
+    monkeypatch.setattr(chat, "MOST_CHARS", 1000)
+    nested = chat.compile_template("{% for a in xs %}{% for b in xs %}{% for c in xs %}abcdef{% endfor %}{% endfor %}{% endfor %}", {})
+    with pytest.raises(chat.TemplateError):
+        list(nested(xs=list(range(100))))
+
+
+def test_chat_keeps_to_its_columns(spark):
+    rows = [(1, 0, "user", "q", 5, "x", 3), (1, 1, "assistant", "a", 6, "y", 4)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, conv long, formatted string, chunk long")
+    plain = chat.format_conversations(df.select("conv_id", "turn", "role", "text")).collect()
+    assert chat.format_conversations(df).collect() == plain and len(plain) == 1
+
+
+def test_contamination_replaces_columns_of_its_names(spark):
+    docs = spark.createDataFrame([(1, "one two three four", "x", [7], 9, "s"), (2, None, "y", None, None, None)], "doc_id long, text string, n_words string, hit_items array<int>, n_hit int, hit_spans string")
+    items = spark.createDataFrame([(5, "two three")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.hit_items, r.n_hit, [tuple(x) for x in r.hit_spans]) for r in contamination.find_contamination(docs, items).collect()}
+    assert got == {1: (4, [5], 2, [(1, 3)]), 2: (0, [], 0, [])}
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from probeline.llm.wordcore import NON_ALNUM, Words
+
+    monkeypatch.setattr(contamination, "window_hashes", lambda words, n: np.zeros(max(len(words) - n + 1, 0), np.uint64))
+    index = contamination._Index([(1, "a b"), (2, "c d"), (None, "e f")], 2)
+    hits = [(i, n, sorted(own)) for i, n, own in index.hits(Words(pa.array(["a b c d e f", "b a"]), NON_ALNUM))]
+    assert hits == [(0, 2, [1]), (2, 2, [2]), (4, 2, [])]
+
+
+def test_many_blocks_of_a_benchmark(spark, small):
+    docs, items = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{small}/benchmark.parquet")
+    seen = lambda df: sorted(map(str, df.select("doc_id", "n_words", "n_hit", "hit_spans", F.array_sort("hit_items")).collect()))
+    size = items.selectExpr("sum(octet_length(text))").first()[0]
+    assert seen(contamination.find_contamination(docs, items, block_bytes=size // 9)) == seen(contamination.find_contamination(docs, items))
+
+
+def test_toxicity_against_plain_python(spark, small):
+    """The distributed fit is that of fit() on the same texts, and scores are the logistic function of plain sums."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{small}/labels.parquet").collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    by_text = defaultdict(list)
+    for d, y in labels.items():
+        if texts.get(d) is not None:
+            by_text[texts[d]].append(y)
+    sample = [(t, int(2 * sum(ys) >= len(ys))) for t, ys in by_text.items()]
+    want = toxicity.fit([t for t, _ in sample], [y for _, y in sample])
+    model = toxicity.train(docs, spark.read.parquet(f"{small}/labels.parquet").select("doc_id", "toxic"), usable=queries.bucket_of("doc_id", 3) != 1)
+    assert model.bias == pytest.approx(want.bias, abs=1e-4) and model.weights.keys() == want.weights.keys()
+    assert all(w == pytest.approx(want.weights[t], abs=1e-3) for t, w in model.weights.items())
+    for r in queries.op2_toxicity(spark, small).collect():
+        words = set(re.findall(r"[^\W\d_]+", (texts[r.doc_id] or "").lower()))
+        z = want.bias + sum(w for t, w in want.weights.items() if any((x == t[1:]) if t[0] == "=" else (x.startswith(t[1:]) and len(x) > len(t) - 1) for x in words))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-3) and r.predicted == int(r.score >= 0.7)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
