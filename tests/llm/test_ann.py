@@ -57,7 +57,7 @@ def test_blocks_and_lengths(spark):
 
 
 def test_odd_vectors(spark):
-    rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [float("nan"), 1.0], 1), (5, [None, 1.0], 1), (6, [float("inf"), 1.0], 1), (7, [0.5, 0.5], 1), (20, [-1.0, 0.0], 1), (20, [-1.0, 0.0], 1), (None, [1.0, 1.0], 1), (40, [1.0], 1)]
+    rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [float("nan"), 1.0], 1), (5, [None, 1.0], 1), (6, [float("inf"), 1.0], 1), (7, [0.5, 0.5], 1), (20, [-1.0, 0.0], 1), (None, [1.0, 1.0], 1), (40, [1.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
     got = results(ann.nearest(df, F.col("vec_id") % 20 == 0))
     assert got == {0: [(1, 1.0), (7, 0.5), (20, -1.0)], 20: [(7, -0.5), (0, -1.0), (1, -1.0)]}
@@ -65,6 +65,35 @@ def test_odd_vectors(spark):
     assert ann.nearest(df.where("vec_id = 2"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_rows_of_one_id_and_other_lengths_stay_apart(spark):
+    rows = [(0, [1.0, 0.0]), (5, [0.5, 0.0]), (5, [0.5, 0.0]), (5, [0.25, 0.0]), (20, [1.0, 1.0, 1.0]), (6, [1.0, 0.0, 0.0]), (7, [0.0, 2.0, 0.0]), (40, [3.0, 0.0]), (40, [4.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect())
+    want = [(0, r, v, s) for r, (v, s) in enumerate([(40, 4.0), (40, 3.0), (5, 0.5), (5, 0.5), (5, 0.25)], 1)]
+    want += [(20, 1, 7, 2.0), (20, 2, 6, 1.0)]
+    for own, other in ((3.0, 4.0), (4.0, 3.0)):
+        want += [(40, r, v, s) for r, (v, s) in enumerate([(40, 12.0), (0, own), (5, own / 2), (5, own / 2), (5, own / 4)], 1)]
+    assert got == sorted(want)
+
+
+def test_tree_walks_outwards():
+    rng = np.random.default_rng(2)
+    points = rng.standard_normal((3000, 4))
+    tree = ann.KdTree(points, 16)
+    assert sorted(tree.order.tolist()) == list(range(3000))
+    for q in rng.standard_normal((20, 4)) * 2:
+        last, seen = 0.0, 0
+        for far, a, b in tree.outwards(q):
+            true = ((points[tree.order[a:b]] - q) ** 2).sum(axis=1).min()
+            assert last <= far + 1e-12 and far <= true + 1e-9
+            last, seen = far, seen + b - a
+        assert seen == 3000
+    leaves = {a: b for a, b in (x for x in tree.nodes if len(x) == 2)}
+    for node, i in zip(tree.leaf_of(points).tolist(), range(3000), strict=True):
+        a, b = tree.nodes[node]
+        assert leaves[a] == b
+
+
 def test_many_equal_vectors(spark):
     rng = np.random.default_rng(1)
     same = rng.standard_normal(8)
