@@ -27,7 +27,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probeline.llm.common import spill
+from probeline.llm.common import small_batches, spill
 from probeline.llm.wordcore import SPACE, _BASE, _INVERSE, Words, _power, buffer_of, mix, slices
 
 #: Taken from the count of each word unit.
@@ -338,9 +338,10 @@ def score_documents(docs: DataFrame, learn: Column, vocabulary: str, id_col: str
     extra columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     counted = rows.select("text", "learn").mapInArrow(_count, "hash long, word binary, count long")
-    words = spill(counted.groupBy("hash", "word").agg(F.sum("count").alias("count")), "words")
+    words = spill(counted.groupBy("hash", "word").agg(F.sum("count").alias("count")), "words", large=True)
     tokens, distinct = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > 0)).first()
     ends = rows.agg(F.count_if("learn")).first()[0]
     corpus = Corpus(tokens + ends, distinct + (ends > 0), ends)
