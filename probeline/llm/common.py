@@ -6,7 +6,8 @@ import gc
 import os
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,20 +21,35 @@ ARROW_BYTES = 4 << 20
 _collected = 0.0
 
 
-def spill(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+#: Spark's own clean-up of what a command has shuffled, at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """What is written in here leaves no shuffle files."""
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+
+
+def spill(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     This cuts the lineage, so a lost executor costs no recomputation of what
     stands above.  release() deletes the table; what isn't released goes when
-    the driver ends, even if the session was stopped before.  large: what was
-    shuffled for it is much, and should go at once.
+    the driver ends, even if the session was stopped before.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_go(spark):
+        df.write.option("compression", "zstd").parquet(path)
     del df
-    free_shuffles(spark, now=large)
+    free_memory(spark)
     out = spark.read.schema(schema).parquet(path)
     out._spilled_to = path
     return out
@@ -59,10 +75,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(ARROW_BYTES))
 
 
-def free_shuffles(spark: SparkSession, now: bool = False) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more, now or at most once in GC_SECONDS."""
+def free_memory(spark: SparkSession) -> None:
+    """Lets Spark drop broadcasts and shuffles that nothing refers to any more, at most once in GC_SECONDS."""
     global _collected
-    if now or time.monotonic() - _collected >= GC_SECONDS:
+    if time.monotonic() - _collected >= GC_SECONDS:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         _collected = time.monotonic()
@@ -76,9 +92,10 @@ def bucketed(df: DataFrame, name: str, column: str) -> tuple[DataFrame, Callable
     spark = df.sparkSession
     made = f"probeline_{name}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("compression", "zstd").bucketBy(buckets, column).saveAsTable(made)
+    with _shuffles_go(spark):
+        df.write.option("compression", "zstd").bucketBy(buckets, column).saveAsTable(made)
     del df
-    free_shuffles(spark, now=True)
+    free_memory(spark)
     out = spark.table(made)
     where, files = hadoop_path(spark, os.path.dirname(out.inputFiles()[0])) if out.inputFiles() else (None, None)
     if where is not None:

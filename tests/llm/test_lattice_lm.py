@@ -100,6 +100,57 @@ def test_documents_against_plain_counts(spark, small, monkeypatch, room):
     assert sum(r.score + 8 * (r.n_tokens - r.n_known) for r in held) > sum(r.base_score for r in held)
 
 
+def plain_scores(docs, learn, pieces, rounds=2, discount=0.75, end_share=0.01):
+    """Scores in plain Python: counts, expectation maximisation over the words' lattices, the sum over all paths."""
+    counts, ends = Counter(), 0
+    for d, t in docs:
+        if learn(d):
+            counts.update(tokens(t))
+            ends += 1
+
+    def passes(word):
+        marked = b" " + word
+        n = len(marked)
+        edges = [(i, j, pieces[marked[i:j]]) for i in range(n) for j in range(i + 1, n + 1) if marked[i:j] in pieces]
+        alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        for i, j, p in sorted(edges, key=lambda e: e[1]):
+            alpha[j] += alpha[i] * p
+        for i, j, p in sorted(edges, key=lambda e: -e[0]):
+            beta[i] += p * beta[j]
+        return marked, edges, alpha, beta
+
+    for _ in range(rounds):
+        expected = Counter()
+        for word in counts:
+            marked, edges, alpha, beta = passes(word)
+            for i, j, p in edges:
+                expected[marked[i:j]] += alpha[i] * p * beta[j] / alpha[-1]
+        kept = {x: c for x in pieces if (c := expected[x] + (0.01 if len(x) == 1 else 0)) > 1e-9}
+        total = sum(kept.values())
+        pieces = {x: c / total for x, c in kept.items()}
+    n, v = sum(counts.values()) + ends, len(counts) + (ends > 0)
+    freed = (discount * v + 1) / (n + 1)
+    memo = {}
+
+    def word_score(w):
+        if w not in memo:
+            memo[w] = math.log10(max(counts[w] - discount, 0) / (n + 1) + freed * (1 - end_share) * passes(w)[2][-1])
+        return memo[w]
+
+    end = math.log10(max(ends - discount, 0) / (n + 1) + freed * end_share)
+    return [sum(word_score(w) for w in tokens(t)) + end for _, t in docs]
+
+
+def test_whole_scores_against_plain_python(spark, small):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    docs = [(d, t) for d, t in docs if max(map(len, tokens(t)), default=0) < 200]
+    pieces = dict(lattice_lm.usable_pieces(lattice_lm.vocabulary_pieces(queries.tokenizer_path())))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    out = lattice_lm.score_documents(df, queries.bucket_of("doc_id", 7) != 2, queries.tokenizer_path())
+    got = {r.doc_id: r.score for r in out.collect()}
+    assert got == pytest.approx(dict(zip([d for d, _ in docs], plain_scores(docs, learns, pieces), strict=True)), rel=1e-6)
+
+
 def test_broadcast_and_join_agree(spark, small, monkeypatch):
     one = {r.doc_id: r.score for r in queries.op3_lattice_lm(spark, small).collect()}
     monkeypatch.setattr(lattice_lm, "FREQUENT", 50)
