@@ -59,7 +59,7 @@ class _Index:
                     yield i, n, own
 
 
-def _scan(index: Broadcast, text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scan(index: Broadcast, text_col: str, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = index.value
         for whole in batches:
@@ -87,7 +87,7 @@ def _scan(index: Broadcast, text_col: str) -> Callable[[Iterator[pa.RecordBatch]
                 out["n_words"] = pa.array(np.diff(words.first).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return scan
+    return scan if then is None else lambda batches: then(scan(batches))
 
 
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))
@@ -108,7 +108,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, length: int = 13, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, benchmark: DataFrame, length: int = 13, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES,
+    cut: bool = False,
 ) -> DataFrame:
     """Adds to each document what it shares with the benchmark.
 
@@ -124,7 +125,8 @@ def find_contamination(
     which pass over the documents in one stage, without a shuffle.  A null text has
     no words; items without words mark nothing; items with a null id mark words
     but are in no list; repeated items and documents count as they stand.
-    Columns of docs named like the new ones are replaced.
+    Columns of docs named like the new ones are replaced.  With `cut`, the
+    texts that come back are without the hit runs of words.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -142,7 +144,8 @@ def find_contamination(
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         index = _Index([(r["item"], r["text"]) for r in part.distinct().collect()], length)
         held.append(spark.sparkContext.broadcast(index))
-        out = out.mapInArrow(_scan(held[-1], text_col), out.schema)
+        # the last pass cuts too, in the same worker
+        out = out.mapInArrow(_scan(held[-1], text_col, _cut(text_col) if cut and b + 1 == blocks else None), out.schema)
         if len(held) == BLOCKS_AT_ONCE and b + 1 < blocks:
             out = spill(out, "scanned")
             for x in held:
@@ -184,5 +187,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     A document with a twentieth of its words hit goes; of any other, the hit
     runs of words are cut out of the text and the rest stays byte for byte.
     """
-    found = find_contamination(docs, benchmark, text_col=text_col, **options).where(~contaminated())
-    return found.mapInArrow(_cut(text_col), found.schema).select(*docs.columns)
+    return find_contamination(docs, benchmark, text_col=text_col, cut=True, **options).where(~contaminated()).select(*docs.columns)
