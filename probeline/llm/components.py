@@ -22,7 +22,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", turns: int | None =
     edges = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(F.col("u") < F.col("v")).distinct()
     edges = spill(edges, "edges")
     mark, turn = None, 0
-    while turn != turns:
+    while True:
         turn += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -33,6 +33,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", turns: int | None =
         small = large.join(smallest, "v").select(F.col("m").alias("u"), F.explode(F.array("v", "u")).alias("v"))
         before, edges = edges, spill(small.where(F.col("u") < F.col("v")).distinct(), "small-star")
         release(before)
+        if turn == turns:
+            break
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break

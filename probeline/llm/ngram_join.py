@@ -27,8 +27,8 @@ from probeline.llm.wordcore import SPACE, Words, mix, slices, window_hashes
 CHUNK, FREQUENT = 1_500_000, 2
 #: Frequent elements that are broadcast, at most (12 bytes each). They only order; the result doesn't depend on them.
 FREQUENT_MOST = 1 << 20
-#: How many heads of its lists each set is compared with in each round, before what is still apart is joined in pairs.
-PICKS = (1, 2, 4)
+#: Heads that a list has in each round, before what is still apart is joined in pairs; rounds after the first are for lists of more than WORTH times as many sets.
+HEADS, WORTH = (1, 32, 512), 4
 #: Light sets have at most so many elements, whatever the costs.
 LIGHT_MOST = 256
 #: Cost of meeting one entry of an inverted list, in emitted keys.
@@ -290,8 +290,9 @@ def jaccard_links(docs: DataFrame, words_in: int = 5, percent: int = 80, id_col:
     """Links between different shingle sets, 100 * intersection >= percent * union, enough to give every component.
 
     Equal sets are one from the start.  Sets that share a key form its list.  In
-    each round every list has a head; each set is compared with those few heads
-    that it meets most often, of lists in which it is still apart from them.
+    each round every list has some heads; each set is compared with as many of
+    them, those that it meets most often, of lists in which it is still apart
+    from them.
     Sets that are found linked are in one component from then on, and only pairs
     of different components are compared at last: so a group of near copies
     costs some times as many comparisons as it has members, not their square.
@@ -329,7 +330,7 @@ def jaccard_links(docs: DataFrame, words_in: int = 5, percent: int = 80, id_col:
     keys = rows.select("text").mapInArrow(_emit(order, words_in), _KEYS_DDL)
     sorted_keys = keys.repartition("key", "part").sortWithinPartitions("key", "part", "sid")
     lists = spill(sorted_keys.mapInArrow(_lists, _KEYS_DDL).drop("part"), "inverted-lists")
-    open_ = lists.withColumn("root", F.col("sid"))
+    open_ = start = lists.withColumn("root", F.col("sid"))
 
     def apart(p: str, q: str) -> Column:
         """Of different components, of sizes that may link, and with enough left behind the key."""
@@ -342,12 +343,19 @@ def jaccard_links(docs: DataFrame, words_in: int = 5, percent: int = 80, id_col:
     links = tested = None
     rounds = []
     pair = [F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")]
-    for turn, picks in enumerate([*PICKS, None]):
+    for turn, picks in enumerate([*HEADS, None]):
         if picks:
-            # the head: first the set with the fewest rarer elements before the key, later any, but the same in many lists
-            place = F.col("most") - F.col("n") if turn == 0 else F.lit(0)
-            row = F.struct(place.alias("place"), F.xxhash64("sid", F.lit(turn)).alias("chance"), "sid", "n", "most", "root")
-            heads = open_.groupBy("key").agg(F.max(row).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "h.*")
+            lists_now = open_.groupBy("key").agg(F.count("*").alias("length"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+            if turn and (lists_now.agg(F.max("length")).first()[0] or 0) <= WORTH * picks:
+                continue
+            chance = F.pmod(F.xxhash64("sid", F.lit(turn)), F.lit(1 << 31))
+            if turn == 0:
+                # the set with the fewest rarer elements before the key
+                row = F.struct((F.col("most") - F.col("n")).alias("place"), chance.alias("chance"), "sid", "n", "most", "root")
+                heads = open_.groupBy("key").agg(F.max(row).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "h.*")
+            else:
+                # about `picks` sets of each list, by chance, but the same in many lists
+                heads = open_.join(lists_now.select("key", "length"), "key").where(chance * F.col("length") < picks * (1 << 31))
             met = open_.alias("p").join(heads.alias("q"), (F.col("p.key") == F.col("q.key")) & apart("p", "q"))
             votes = met.groupBy(F.col("p.sid").alias("sid"), F.col("q.sid").alias("other")).agg(F.count("*").alias("votes")).select("sid", "votes", "other", *pair)
             if tested is not None:
@@ -360,19 +368,23 @@ def jaccard_links(docs: DataFrame, words_in: int = 5, percent: int = 80, id_col:
             pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         pairs = spill(pairs, "pairs")
         rounds.append(pairs)
+        if pairs.isEmpty():
+            continue
         found = _verify(rows, reps, pairs, words_in, percent)
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         if picks:
             # not settled in so few turns, but what has one root is in one component
-            roots = components(links, turns=2)
+            roots = components(links, turns=1)
             placed = open_.drop("root").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
             placed = spill(placed, "placed-lists")
             split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
             left = spill(placed.join(split, "key", "left_semi"), "open-lists")
-            release(roots, placed, lists if turn == 0 else open_)
+            release(roots, placed, *([] if open_ is start else [open_]))
             open_ = left
-    release(open_, *rounds)
+    release(lists, *([] if open_ is start else [open_]), *rounds)
+    if links is None:
+        links = spark.createDataFrame([], "a long, b long")
     return JaccardJoin(documents, reps, links, light)
 
 

@@ -1,5 +1,6 @@
 """The heavy-light join and the components against brute force."""
 
+import os
 import random
 import re
 from collections import defaultdict
@@ -8,6 +9,7 @@ import pytest
 
 from probeline.llm import ngram_join, queries
 from probeline.llm.components import components
+from probeline.session import shared_path
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -71,6 +73,8 @@ def near_copies(seed):
 @pytest.mark.parametrize("light", [0, 12, 256])
 def test_every_boundary_gives_the_same(spark, monkeypatch, light):
     monkeypatch.setattr(ngram_join, "light_boundary", lambda *a: light)
+    monkeypatch.setattr(ngram_join, "HEADS", (1, 2, 5))
+    monkeypatch.setattr(ngram_join, "WORTH", light % 5)
     docs = near_copies(light)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     assert result(ngram_join.jaccard_components(df)) == plain(docs)
@@ -98,3 +102,12 @@ def test_components_of_chains(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 200: 200, 300: 200, 250: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_only_what_a_result_reads_is_left(spark):
+    folder = os.path.dirname(shared_path(spark, "x")).removeprefix("file:").replace("//", "/")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    df = spark.createDataFrame(near_copies(5), "doc_id long, text string").repartition(4)
+    ngram_join.jaccard_components(df).collect()
+    left = sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before)
+    assert set(left) <= {"shingle-sets", "set-reps", "links", "components"} and left.count("components") == 1
