@@ -15,12 +15,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probeline.llm.common import bucketed, spill
+from probeline.llm.common import bucketed, release, spill
 
 #: Lines within so many edits (of characters) are near.
 THRESHOLD = 2
 #: A segment that more lines have is joined under a closer condition.
 HOT = 16
+#: The lines of a segment that more lines have meet by the rest of the line, cut into segments again.
+CROWDED = 1024
 #: Shorter lines are near to no other.
 MIN_CHARS = 10 * THRESHOLD
 #: The queries take out exact copies of lines of so many characters at least, except blank ones.
@@ -43,15 +45,20 @@ def segments(length: Column, threshold: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size))
+def _wide(line: Column) -> Column:
+    """The line with 4 bytes for each character, so that a substring is found without counting."""
+    return F.encode(F.make_valid_utf8(line), "UTF-32")
 
 
-def _index_keys(line: Column, length: Column, threshold: int) -> list[Column]:
-    return [_key(line, length, i, start, size) for i, (start, size) in enumerate(segments(length, threshold))]
+def _key(wide: Column, length: Column, i: int | Column, start: Column, size: Column) -> Column:
+    return F.xxhash64(length, i if isinstance(i, Column) else F.lit(i), F.substring(wide, 4 * start + 1, 4 * size))
 
 
-def _probe_keys(line: Column, length: Column, threshold: int) -> list[Column]:
+def _index_keys(wide: Column, length: Column, threshold: int) -> list[Column]:
+    return [_key(wide, length, i, start, size) for i, (start, size) in enumerate(segments(length, threshold))]
+
+
+def _probe_keys(wide: Column, length: Column, threshold: int) -> list[Column]:
     """The key of each substring that may be a segment of a line as long or up to `threshold` shorter.
 
     With segment i (from 0) matched, at most i edits lie before it if it is
@@ -63,7 +70,7 @@ def _probe_keys(line: Column, length: Column, threshold: int) -> list[Column]:
         partner = length - less
         for i, (start, size) in enumerate(segments(partner, threshold)):
             lo, hi = max(-i, less - (threshold - i)), min(i, less + threshold - i)
-            out += [_key(line, partner, i, start + move, size) for move in range(lo, hi + 1)]
+            out += [_key(wide, partner, i, start + move, size) for move in range(lo, hi + 1)]
     return out
 
 
@@ -175,39 +182,79 @@ def _parities(line: Column) -> Column:
     return F.struct(word(chars).alias("ones"), word(pairs).alias("twos"))
 
 
-def near_lines(lines: DataFrame, threshold: int, hot: int = HOT) -> DataFrame:
-    """(a, b, first_a, first_b): the pairs of different lines within `threshold` edits, each once.
+def near_lines(lines: DataFrame, threshold: int, hot: int = HOT, crowded: int = CROWDED) -> DataFrame:
+    """(id): the lines within `threshold` edits of one that occurs before.
 
     A segment that more than `hot` lines have would give the square of their
     number in pairs.  Its lines meet in a second join, whose condition lets only
     those pairs out that `threshold` edits can explain: an edit changes two
-    characters' parities at most, and four pairs'.
+    characters' parities at most, and four pairs'.  A segment that more than
+    `crowded` lines have is only the beginning of a key: see crowded_lines.
     """
-    line, length = F.col("line"), F.col("length")
-    index = lines.select(F.col("id").alias("a"), F.explode(F.array(*_index_keys(line, length, threshold))).alias("key"))
-    probe = lines.select(F.col("id").alias("b"), F.explode(F.array(*_probe_keys(line, length, threshold))).alias("key"))
+    wide, length = F.col("wide"), F.col("length")
+    keyed = lines.select("id", "length", _wide(F.col("line")).alias("wide"))
+    index = keyed.select(F.col("id").alias("a"), "length", F.posexplode(F.array(*_index_keys(wide, length, threshold))).alias("part", "key"))
+    probe = keyed.select(F.col("id").alias("b"), F.explode(F.array(*_probe_keys(wide, length, threshold))).alias("key"))
     by_key = Window.partitionBy("key")
     counted = index.withColumn("n", F.count("*").over(by_key)).withColumn("one", F.min("a").over(by_key))
-    thin = counted.where((F.col("n") <= hot) | (F.col("a") == F.col("one"))).select("key", "a", (F.col("n") > hot).alias("hot"))
+    # a key has `hot` rows at most here, so the hash tables are even
+    thin = counted.where((F.col("n") <= hot) | (F.col("a") == F.col("one"))).select(
+        "key", "a", F.when(F.col("n") > hot, F.struct("key", "length", "part", (F.col("n") > crowded).alias("crowded"))).alias("hot")
+    )
     different = F.col("a") != F.col("b")
-    met = spill(probe.join(thin, "key").where(F.col("hot") | different).select("a", "b", "hot", F.when(F.col("hot"), F.col("key")).alias("key")), "met-lines")
+    met = spill(probe.join(thin.hint("shuffle_hash"), "key").where(F.col("hot").isNotNull() | different).select("a", "b", "hot"), "met-lines")
 
     # every line probes its own segments too, so the probes of a hot key hold its lines
-    hot_rows = met.where("hot").select("key", F.col("b").alias("id")).distinct()
+    hot_rows = met.where(F.col("hot").isNotNull()).select("hot.*", F.col("b").alias("id")).distinct()
     # the parities of these lines alone: they cost more than the keys of all
-    hot_lines = spill(hot_rows.select("id").distinct().join(lines.select("id", "line"), "id"), "hot-lines")
-    signs = hot_lines.select("id", _parities(F.col("line")).alias("sign"))
-    signed = spill(hot_rows.join(signs, "id").select("key", "id", "sign"), "hot-signs")
+    hot_lines = spill(hot_rows.select("id").distinct().join(lines.select("id", "line", "first", F.col("length").alias("own_length")), "id"), "hot-lines")
+    signed = spill(hot_rows.join(hot_lines.withColumn("sign", _parities(F.col("line"))), "id"), "hot-signs")
     apart = lambda side: F.bit_count(F.col(f"p.sign.{side}").bitwiseXOR(F.col(f"q.sign.{side}")))
-    like = (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (apart("ones") <= 2 * threshold) & (apart("twos") <= 4 * threshold)
-    hot_pairs = signed.alias("p").join(signed.alias("q"), like).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+    like = (apart("ones") <= 2 * threshold) & (apart("twos") <= 4 * threshold)
+    few = signed.where(~F.col("crowded")).select("key", "id", "sign")
+    hot_pairs = few.alias("p").join(few.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & like).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
 
     # lines of one length meet both ways
-    pairs = met.where(~F.col("hot")).select("a", "b").unionByName(hot_pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = met.where(F.col("hot").isNull()).select("a", "b").unionByName(hot_pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     one = lines.select(F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("first").alias("first_a"))
     two = lines.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("first").alias("first_b"))
-    both = pairs.join(one, "a").join(two, "b")
-    return both.where(within(F.col("line_a"), F.col("line_b"), threshold)).select("a", "b", "first_a", "first_b")
+    near = pairs.join(one, "a").join(two, "b").where(within(F.col("line_a"), F.col("line_b"), threshold))
+    later = near.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("id"))
+    if not signed.where("crowded").isEmpty():
+        later = later.unionByName(crowded_lines(signed.where("crowded"), like, threshold))
+    later = spill(later, "near-lines")
+    release(met, hot_lines, signed)
+    return later
+
+
+def crowded_lines(rows: DataFrame, like: Column, threshold: int) -> DataFrame:
+    """(id): of lines that share a segment, those within `threshold` edits of one that occurs before.
+
+    rows: key, length and part of the segment (length is that of the lines it
+    is cut from), id, line, own_length, first, sign.  Where the segment isn't
+    edited, all edits are in the rest; cut into one piece more than there may
+    be edits, the rest has a piece that the other line has too, moved by
+    `threshold` at most.  A piece on both sides of the segment is taken with it.
+    So lines meet by segment and piece, each only until one before it is found.
+    """
+    line, length = F.col("line"), F.col("length")
+    starts, sizes = zip(*segments(length, threshold), strict=True)
+    placed = rows.withColumn("start", F.get(F.array(*starts), F.col("part"))).withColumn("size", F.get(F.array(*sizes), F.col("part")))
+    start, size = F.col("start"), F.col("size")
+    own = (F.col("own_length") == length) & (_key(_wide(line), length, F.col("part"), start, size) == F.col("key"))
+    placed = placed.withColumn("own", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(threshold))))
+
+    def end(j: Column) -> Column:
+        """Where the first j of all pieces of the rest end."""
+        return F.call_function("div", j * (length - size), F.lit(threshold + 1)).cast("int")
+
+    placed = placed.withColumn("a", end(F.col("i"))).withColumn("b", end(F.col("i") + 1))
+    placed = placed.withColumn("a", F.when(F.col("a") < start, F.col("a")).otherwise(F.col("a") + size)).withColumn("b", F.when(F.col("b") <= start, F.col("b")).otherwise(F.col("b") + size))
+    placed = placed.withColumn("move", F.explode(F.sequence(F.lit(-threshold), F.lit(threshold))))
+    piece = F.xxhash64("key", "i", F.substring(line, F.col("a") + F.col("move") + 1, F.col("b") - F.col("a")))
+    met = placed.select("id", "line", "first", "sign", piece.alias("piece"), (F.col("own") & (F.col("move") == 0)).alias("cut"))
+    before = (F.col("p.piece") == F.col("q.piece")) & (F.col("p.cut") | F.col("q.cut")) & (F.col("q.first") < F.col("p.first")) & like & within(F.col("p.line"), F.col("q.line"), threshold)
+    return met.alias("p").join(met.alias("q"), before, "left_semi").select("id").distinct()
 
 
 def replaced_lines(lines: DataFrame, per_edit: int) -> DataFrame:
@@ -242,7 +289,8 @@ def replaced_lines(lines: DataFrame, per_edit: int) -> DataFrame:
 
 
 def dedup_lines(
-    docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, copy_chars: int | None = None, words_per_edit: int | None = None
+    docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, copy_chars: int | None = None, words_per_edit: int | None = None,
+    crowded: int = CROWDED,
 ) -> DataFrame:
     """Takes out each line that occurs before, or that is within `threshold` edits of one that does.
 
@@ -266,8 +314,7 @@ def dedup_lines(
     copy_chars = min_chars if copy_chars is None else min(copy_chars, min_chars)
     lines, drop = distinct_lines(docs, min_chars, copy_chars, id_col, text_col)
     long = lines.where(F.col("length") >= min_chars)
-    links = spill(near_lines(long, threshold, hot), "near-lines")
-    later = links.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("id"))
+    later = near_lines(long, threshold, hot, crowded)
     if words_per_edit is not None:
         later = later.unionByName(replaced_lines(long, words_per_edit))
     later = later.distinct()
