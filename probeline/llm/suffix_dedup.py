@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probeline.llm.common import spill
+from probeline.llm.common import release, small_batches, spill
 from probeline.llm.wordcore import _BASE, _INVERSE, _power, buffer_of, mix, slices
 
 #: Bytes of a k-gram; a window of `length` bytes has length - K + 1 of them.
@@ -31,6 +31,10 @@ K = 16
 QUEUE_BYTES = 64 << 20
 #: Bytes of text in one suffix sort, about; a shard is sorted in groups of whole minimisers.
 SORT_BYTES = 1 << 20
+#: A minimiser that more documents have is sorted by its different strings alone.
+HOT_DOCS = 50_000
+#: Rows that tell which texts are copies are broadcast up to so many.
+BROADCAST_COPIES = 400_000
 
 _U = np.uint64
 
@@ -222,46 +226,57 @@ def long_common(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     return same
 
 
-def first_owners(strings: list[bytes], owners: np.ndarray, length: int, limit: int = QUEUE_BYTES) -> list[np.ndarray]:
-    """For each string and each place in it, the smallest owner of the `length` (8 at least) bytes there, in any of the strings."""
-    data = np.frombuffer(b"\0".join([*strings, b"\0"]), np.uint8)
-    sizes = np.array([len(s) for s in strings])
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... of counts[i] numbers, for each i."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
+def first_owners(data: np.ndarray, offs: np.ndarray, owners: np.ndarray, length: int, limit: int = QUEUE_BYTES) -> np.ndarray:
+    """For each whole place of each string (of a buffer), the smallest owner of the `length` (8 at least) bytes there, in any of the strings."""
+    sizes = np.diff(offs)
     starts = np.r_[0, np.cumsum(sizes + 1)]
     # bytes become 2 to 257; 1 parts the strings and 0 ends the text
-    text = data[: starts[-1] + 1].astype(np.int64) + 2
-    text[starts[1:] - 1] = 1
+    text = np.ones(starts[-1] + 1, np.int64)
+    text[_spread(starts[:-1], sizes)] = data[offs[0] : offs[-1]].astype(np.int64) + 2
     text[-1] = 0
-    string = np.repeat(np.arange(len(strings)), sizes + 1)
+    string = np.repeat(np.arange(len(sizes)), sizes + 1)
     whole = np.arange(starts[-1]) + length < starts[1:][string]
     order = suffix_array(text, limit)
     order = order[order < starts[-1]]
     order = order[whole[order]]
     result = np.zeros(starts[-1], np.int64)
     if len(order):
-        new = np.r_[True, ~long_common(data, order, length)]
+        new = np.r_[True, ~long_common(np.maximum(text - 2, 0).astype(np.uint8), order, length)]
         least = np.minimum.reduceat(owners[string[order]], np.flatnonzero(new))
         result[order] = least[np.cumsum(new) - 1]
-    return [result[a : a + max(n - length + 1, 0)] for a, n in zip(starts[:-1].tolist(), sizes.tolist(), strict=True)]
-
-
-def repeated_owners(strings: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
-    """As first_owners, but only stretches whose windows may occur elsewhere, by a hash of each window, are sorted."""
-    data = np.frombuffer(b"".join(strings), np.uint8)
-    sizes = np.array([len(s) for s in strings])
-    starts = np.r_[0, np.cumsum(sizes)]
-    string = np.repeat(np.arange(len(strings)), np.maximum(sizes - length + 1, 0))
-    first = np.r_[0, np.cumsum(np.maximum(sizes - length + 1, 0))]
-    place = np.arange(first[-1]) - first[string] + starts[string]
-    _, inverse, count = np.unique(_window_hashes(data, place, length), return_inverse=True, return_counts=True)
-    at = np.flatnonzero(count[inverse] > 1)
-    result = owners[string].copy()
+    return result[whole]
+
+
+def owner_runs(data: np.ndarray, offs: np.ndarray, owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first place, places, owner): runs of places of each string whose `length` bytes have one first owner among all strings.
+
+    Only stretches whose windows may occur elsewhere, by a hash of each window, are sorted.
+    """
+    windows = np.maximum(np.diff(offs) - length + 1, 0)
+    string = np.repeat(np.arange(len(windows)), windows)
+    place = _spread(offs[:-1], windows)
+    result = owners[string]
+    hashes = _window_hashes(data, place, length)
+    order = np.argsort(hashes)
+    ranked = hashes[order]
+    alike = np.zeros(len(order) + 1, bool)
+    alike[1:-1] = ranked[1:] == ranked[:-1]
+    often = np.zeros(len(order), bool)
+    often[order] = alike[:-1] | alike[1:]
+    at = np.flatnonzero(often)
     if len(at):
-        new = np.r_[True, (np.diff(at) > 1) | (np.diff(string[at]) > 0)]
-        begin = np.flatnonzero(new)
-        end = np.r_[begin[1:], len(at)] - 1
-        parts = [data[place[at[a]] : place[at[b]] + length].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-        result[at] = np.concatenate(first_owners(parts, owners[string[at[begin]]], length))
-    return [result[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        begin = np.flatnonzero(np.r_[True, (np.diff(at) > 1) | (np.diff(string[at]) > 0)])
+        sizes = np.diff(np.r_[begin, len(at)]) + length - 1
+        part = data[_spread(place[at[begin]], sizes)]
+        result[at] = first_owners(part, np.r_[0, np.cumsum(sizes)], owners[string[at[begin]]], length)
+    begin = np.flatnonzero(np.r_[True, (np.diff(string) > 0) | (np.diff(result) != 0)]) if len(string) else np.zeros(0, np.int64)
+    return string[begin], place[begin] - offs[:-1][string[begin]], np.diff(np.r_[begin, len(string)]), result[begin]
 
 
 # -------------------------------------------------------------------- minimisers
@@ -275,6 +290,10 @@ def _window_hashes(data: np.ndarray, places: np.ndarray | slice, length: int) ->
     return (sums[ends] - sums[places]) * _power(_INVERSE, len(data) + 1)[places]
 
 
+#: Minimisers are told apart by 48 bits, which shuffle in less; two that have the same share a shard.
+_SHORT = _U((1 << 48) - 1)
+
+
 def runs(data: np.ndarray, offs: np.ndarray, length: int, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first place, windows, minimiser) of each run of neighbouring windows with one minimiser, in each text of a buffer."""
     window = length - k + 1
@@ -299,7 +318,7 @@ def runs(data: np.ndarray, offs: np.ndarray, length: int, k: int = K) -> tuple[n
     new = np.ones(len(place), bool)
     new[1:] = (least[1:] != least[:-1]) | (place[1:] != place[:-1] + 1) | (owner[1:] != owner[:-1])
     at = np.flatnonzero(new)
-    return owner[at], place[at] - offs[owner[at]], np.diff(np.r_[at, len(place)]), least[at]
+    return owner[at], place[at] - offs[owner[at]], np.diff(np.r_[at, len(place)]), least[at] & _SHORT
 
 
 def _minimisers(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -307,7 +326,7 @@ def _minimisers(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", 1 << 19):
                 data, offs = buffer_of(batch.column(batch.schema.get_field_index("text")))
                 text, _, _, least = runs(data, offs, length)
                 docs = batch.column(batch.schema.get_field_index("doc")).to_numpy()
@@ -316,114 +335,150 @@ def _minimisers(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def _shared_minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by minimiser: those of minimisers that several documents have, once a document."""
-    last, shown = None, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        m, doc = (batch.column(i).to_numpy() for i in (0, 1))
-        if last is not None:
-            m, doc = np.r_[last[0], m], np.r_[last[1], doc]
-        new = np.ones(len(m), bool)
-        new[1:] = (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])
-        m, doc = m[new], doc[new]
-        alike = np.zeros(len(m) + 1, bool)
-        alike[1:-1] = m[1:] == m[:-1]
-        here = alike[:-1] | alike[1:]
-        if last is not None and shown:
-            here[0] = False
-        last, shown = (int(m[-1]), int(doc[-1])), bool(here[-1]) or (len(m) == 1 and shown)
-        if here.any():
-            yield pa.RecordBatch.from_arrays([pa.array(m[here]), pa.array(doc[here])], names=["m", "doc"])
+def _shared_minimisers(hot: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows sorted by minimiser: those of minimisers that several documents have, once a document; and one without document for each that over `hot` have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, shown, count = None, False, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m, doc = (batch.column(i).to_numpy() for i in (0, 1))
+            if last is not None:
+                m, doc = np.r_[last[0], m], np.r_[last[1], doc]
+            new = np.ones(len(m), bool)
+            new[1:] = (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])
+            m, doc = m[new], doc[new]
+            alike = np.zeros(len(m) + 1, bool)
+            alike[1:-1] = m[1:] == m[:-1]
+            here = alike[:-1] | alike[1:]
+            # how many documents each minimiser has up to here; the last one may go on
+            begin = np.flatnonzero(~alike[:-1])
+            counts = np.diff(np.r_[begin, len(m)])
+            counts[0] += count - (last is not None) if last is not None else 0
+            over = m[begin[:-1]][counts[:-1] > hot]
+            count = int(counts[-1])
+            if last is not None and shown:
+                here[0] = False
+            last, shown = (int(m[-1]), int(doc[-1])), bool(here[-1]) or (len(m) == 1 and shown)
+            if here.any() or len(over):
+                docs = pa.concat_arrays([pa.array(doc[here]), pa.nulls(len(over), pa.int64())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[m[here], over]), docs], names=["m", "doc"])
+        if count > hot:
+            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.nulls(1, pa.int64())], names=["m", "doc"])
+
+    return run
 
 
 _STRINGS = pa.schema([("m", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("first", pa.int64()), ("string", pa.binary())])
 
 
+def _list_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and the row of each."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+
+
 def _strings(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The runs of each document whose minimisers are shared: where they begin and their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", 1 << 19):
                 at = batch.schema.get_field_index
                 data, offs = buffer_of(batch.column(at("text")))
                 text, first, windows, least = runs(data, offs, length)
-                docs = batch.column(at("doc")).to_numpy()
-                shared, shared_at = buffer_of(batch.column(at("ms")))
-                wanted = np.zeros(len(text), bool)
-                bounds = np.searchsorted(text, np.arange(len(offs)))
-                for i in range(batch.num_rows):
-                    own = np.frombuffer(shared[shared_at[i] : shared_at[i + 1]].tobytes(), np.int64)
-                    a, b = bounds[i], bounds[i + 1]
-                    wanted[a:b] = np.isin(least[a:b].view(np.int64), own)
+                shared, row = _list_of(batch.column(at("ms")))
+                own = mix(shared.astype(np.int64).view(_U) + row.astype(_U) * _U(_BASE))
+                wanted = np.isin(mix(least + text.astype(_U) * _U(_BASE)), own)
                 text, first, windows, least = text[wanted], first[wanted], windows[wanted], least[wanted]
-                keys = batch.column(at("key")).to_numpy()
-                begin = offs[text] + first
+                docs, keys = batch.column(at("doc")).to_numpy(), batch.column(at("key")).to_numpy()
                 sizes = windows + length - 1
                 ends = np.zeros(len(sizes) + 1, np.int32)
                 np.cumsum(sizes, out=ends[1:])
-                taken = data[np.repeat(begin - ends[:-1], sizes) + np.arange(ends[-1])]
+                taken = data[_spread(offs[text] + first, sizes)]
                 strings = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(taken)])
                 yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(docs[text]), pa.array(keys[text]), pa.array(first), strings], schema=_STRINGS)
 
     return run
 
 
-_OWNERS = pa.schema([("m", pa.int64()), ("hash", pa.int64()), ("owners", pa.binary())])
+class _Shard:
+    """Rows of whole minimisers, in the order of minimiser, string and document; each different string is held once."""
 
+    def __init__(self) -> None:
+        self.bytes: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.owners: list[np.ndarray] = []
+        self.rows: list[tuple[np.ndarray, ...]] = []  # (string, doc, key, first), or (m, hash) of each string
+        self.strings = self.size = 0
 
-def _sort_shard(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(m, hash, owners): for each different string, in rows sorted by minimiser, hash and document, the first owner at each of its places.
-
-    Whole minimisers gather up to SORT_BYTES and are sorted together; a
-    minimiser with more strings than that is sorted on its own, with its queues
-    on disk.
+    def add(self, batch: pa.RecordBatch, last: tuple[int, int] | None, placed: bool) -> tuple[int, int]:
+        """Adds rows after a row of minimiser and hash `last`; returns those of the last row."""
+        m, h, doc = (batch.column(i).to_numpy() for i in (0, 1, 3))
+        new = np.ones(len(m), bool)
+        new[1:] = (m[1:] != m[:-1]) | (h[1:] != h[:-1])
+        new[0] = not self.strings or (int(m[0]), int(h[0])) != last
+        raw, offs = buffer_of(batch.column(2))
+        sizes = np.diff(offs)
+        if placed:
+            self.rows.append((self.strings - 1 + np.cumsum(new), doc, batch.column(4).to_numpy(), batch.column(5).to_numpy()))
+        else:
+            self.rows.append((m[new], h[new]))
+        self.bytes.append(raw[_spread(offs[:-1][new], sizes[new])])
+        self.sizes.append(sizes[new])
+        self.owners.append(doc[new])
+        self.strings += int(new.sum())
+        self.size += int(sizes[new].sum())
+        return int(m[-1]), int(h[-1])
+
+    def spans(self, length: int, placed: bool) -> pa.RecordBatch:
+        """placed: (doc, key, start, stop) of what has a smaller first owner; else (m, hash, start, stop, owner), places of each string by first owner."""
+        sizes = np.concatenate(self.sizes)
+        string, start, places, owner = owner_runs(np.concatenate(self.bytes), np.r_[0, np.cumsum(sizes)], np.concatenate(self.owners), length)
+        rows = [np.concatenate(x) for x in zip(*self.rows, strict=True)]
+        stop = start + places + length - 1
+        if not placed:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[0][string], rows[1][string], start, stop, owner)], names=["m", "hash", "start", "stop", "owner"])
+        begin = np.searchsorted(string, np.arange(self.strings + 1))
+        own, doc, key, first = rows
+        run = _spread(begin[own], np.diff(begin)[own])
+        row = np.repeat(np.arange(len(own)), np.diff(begin)[own])
+        hit = owner[run] < doc[row]
+        run, row = run[hit], row[hit]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[row], key[row], first[row] + start[run], first[row] + stop[run])], names=["doc", "key", "start", "stop"])
+
+
+def _sort_shard(length: int, placed: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The spans of rows (m, hash, string, doc, key, first) that are sorted by minimiser, hash and document.
+
+    Whole minimisers gather up to SORT_BYTES of different strings and are sorted together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes, int]] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            found = repeated_owners([x[2] for x in held], np.array([x[3] for x in held], np.int64), length)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], schema=_OWNERS)
-
+        shard, last = _Shard(), None
         for batch in batches:
-            for m, h, s, doc in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if held and (m, h) == held[-1][:2]:
-                    continue  # a copy; the first one has the smallest document
-                if size > SORT_BYTES and m != held[-1][0]:
-                    yield out()
-                    held, size = [], 0
-                held.append((m, h, s, doc))
-                size += len(s)
-        if held:
-            yield out()
-
-    return run
-
-
-def _spans(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc, key, spans): the bytes of a document that strings with smaller first owners cover, from one run each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, key, first = (batch.column(i).to_numpy() for i in range(3))
-            data, offs = buffer_of(batch.column(3))
-            owners = np.frombuffer(data.tobytes(), np.int64)
-            n = np.diff(offs) // 8
-            row = np.repeat(np.arange(len(n)), n)
-            place = np.arange(len(owners)) - np.repeat(offs[:-1] // 8, n) + first[row]
-            hit = owners < doc[row]
-            row, place = row[hit], place[hit]
-            if not len(row):
+            if not batch.num_rows:
                 continue
-            new = np.r_[True, (np.diff(row) > 0) | (np.diff(place) > 1)]
-            a = np.flatnonzero(new)
-            last = np.r_[a[1:], len(row)] - 1
-            yield pa.RecordBatch.from_arrays([pa.array(doc[row[a]]), pa.array(key[row[a]]), pa.array(place[a]), pa.array(place[last] + length)], names=["doc", "key", "start", "stop"])
+            m = batch.column(0).to_numpy()
+            # pieces of whole minimisers, but the first and the last, which go on before and behind
+            cuts = np.flatnonzero(np.diff(m)) + 1
+            _, offs = buffer_of(batch.column(2))
+            a = 0
+            if last is not None and shard.size > SORT_BYTES and int(m[0]) != last[0]:
+                yield shard.spans(length, placed)
+                shard = _Shard()
+            while a < len(m):
+                # up to the first cut behind what fills the shard
+                full = int(np.searchsorted(offs, offs[a] + SORT_BYTES - shard.size, "left"))
+                later = cuts[cuts >= max(full, a + 1)]
+                b = int(later[0]) if len(later) else len(m)
+                last = shard.add(batch.slice(a, b - a), last, placed)
+                if b < len(m) and shard.size > SORT_BYTES:
+                    yield shard.spans(length, placed)
+                    shard = _Shard()
+                a = b
+        if shard.strings:
+            yield shard.spans(length, placed)
 
     return run
 
@@ -473,6 +528,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     """
     if length <= K:
         raise ValueError(f"strings have more than {K} bytes")
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(_key_of(id_col).alias("doc"), text.alias("text"), F.xxhash64(text).alias("key"))
     # copies of a whole text lose all of it, and stand for nothing that the first one doesn't
@@ -480,26 +536,35 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     firsts = brief.groupBy("key", "crc", "size").agg(F.min("doc").alias("first_doc"))
     copies = brief.join(firsts, ["key", "crc", "size"]).where((F.col("doc") > F.col("first_doc")) & (F.col("size") >= length)).select("doc", "key", "size").distinct()
     copies = spill(copies, "copies")
+    release(brief)
+    taken = copies.select("doc", "key")
+    originals = rows.join(F.broadcast(taken) if copies.count() <= BROADCAST_COPIES else taken, ["doc", "key"], "left_anti")
     # minimisers that several documents have
-    grams = rows.select("doc", "text").mapInArrow(_minimisers(length), "m long, doc long").repartition("m").sortWithinPartitions("m", "doc")
-    shared = spill(grams.mapInArrow(_shared_minimisers, "m long, doc long"), "minimisers")
-    # as many as the document's own runs
-    by_doc = shared.groupBy("doc").agg(F.unhex(F.array_join(F.transform(F.collect_list("m"), lambda m: _little_endian(m)), "")).alias("ms"))
-    originals = rows.join(copies.select("doc", "key"), ["doc", "key"], "left_anti") if copies.count() else rows
+    grams = originals.select("doc", "text").mapInArrow(_minimisers(length), "m long, doc long").repartition("m").sortWithinPartitions("m", "doc")
+    shared = spill(grams.mapInArrow(_shared_minimisers(HOT_DOCS), "m long, doc long"), "minimisers")
+    hot = shared.where("doc is null").select("m")
+    some_hot = hot.limit(1).count() > 0
+    by_doc = shared.where("doc is not null").groupBy("doc").agg(F.collect_list("m").alias("ms"))  # as many as the document's own runs
     strings = originals.join(by_doc, "doc").select("doc", "text", "key", "ms").mapInArrow(_strings(length), "m long, doc long, key long, first long, string binary")
-    strings = spill(strings.withColumn("hash", F.xxhash64("string")), "strings")
-    ordered = strings.select("m", "hash", "string", "doc").repartition("m").sortWithinPartitions("m", "hash", "doc")
-    owners = spill(ordered.mapInArrow(_sort_shard(length), "m long, hash long, owners binary"), "owners")
-    met = strings.select("m", "hash", "doc", "key", "first").join(owners, ["m", "hash"]).select("doc", "key", "first", "owners")
-    spans = met.mapInArrow(_spans(length), "doc long, key long, start long, stop long")
+    strings = strings.withColumn("hash", F.xxhash64("string"))
+    # a minimiser that very many documents have: only its different strings meet, and what is found goes back to where they are
+    hot_spans = None
+    if some_hot:
+        strings = spill(strings, "strings")
+        often = strings.join(hot, "m", "left_semi")
+        different = often.groupBy("m", "hash").agg(F.any_value("string").alias("string"), F.min("doc").alias("doc"))
+        different = different.repartition("m").sortWithinPartitions("m", "hash", "doc")
+        owners = spill(different.mapInArrow(_sort_shard(length, placed=False), "m long, hash long, start long, stop long, owner long"), "owners")
+        met = often.select("m", "hash", "doc", "key", "first").join(owners, ["m", "hash"]).where("owner < doc")
+        hot_spans = met.select("doc", "key", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop"))
+    thin = strings.join(hot, "m", "left_anti") if some_hot else strings
+    ordered = thin.select("m", "hash", "string", "doc", "key", "first").repartition("m").sortWithinPartitions("m", "hash", "doc")
+    spans = ordered.mapInArrow(_sort_shard(length, placed=True), "doc long, key long, start long, stop long")
     spans = spans.unionByName(copies.select("doc", "key", F.lit(0).cast("long").alias("start"), F.col("size").alias("stop")))
+    if some_hot:
+        spans = spans.unionByName(hot_spans)
     gathered = spill(spans.groupBy("doc", "key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    release(copies, shared, *([strings, owners] if some_hot else []))
     out = rows.join(gathered, ["doc", "key"], "left").mapInArrow(_cut, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
     null = F.lit(-(2**63)).cast("long")
     return out.select(F.when(F.col("doc") != null, F.col("doc")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
-
-
-def _little_endian(x):
-    """A long as the hexadecimal digits of its bytes, the lowest first."""
-    digits = F.lpad(F.hex(x), 16, "0")
-    return F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(8)])

@@ -36,9 +36,14 @@ def test_first_owners():
     for s, o in zip(strings, owners.tolist(), strict=True):
         for i in range(len(s) - 8):
             least[s[i : i + 9]] = min(o, least.get(s[i : i + 9], o))
-    for found in (suffix_dedup.first_owners, suffix_dedup.repeated_owners):
-        for s, x in zip(strings, found(strings, owners, 9), strict=True):
-            assert x.tolist() == [least[s[i : i + 9]] for i in range(len(s) - 8)]
+    want = [[least[s[i : i + 9]] for i in range(len(s) - 8)] for s in strings]
+    data, offs = np.frombuffer(b"".join(strings), np.uint8), np.r_[0, np.cumsum([len(s) for s in strings])]
+    assert suffix_dedup.first_owners(data, offs, owners, 9).tolist() == sum(want, [])
+    got = [[] for _ in strings]
+    for s, start, n, owner in zip(*(x.tolist() for x in suffix_dedup.owner_runs(data, offs, owners, 9)), strict=True):
+        assert start == len(got[s])
+        got[s] += [owner] * n
+    assert got == want
 
 
 def plain(docs, length=50):
@@ -71,8 +76,10 @@ def test_documents_against_brute_force(spark, small):
     assert got == plain(docs) and sum(r[2] for r in got) > 0
 
 
-def test_small_alphabet(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [50_000, 3])
+def test_small_alphabet(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 500)
+    monkeypatch.setattr(suffix_dedup, "HOT_DOCS", hot)
     rng = random.Random(9)
     base = "".join(rng.choices("ab é", k=600))
     docs = [(i, "".join(rng.choices("ab", k=rng.randrange(0, 40))) + base[(a := rng.randrange(500)) : a + rng.randrange(0, 120)] + "c" * rng.randrange(0, 70)) for i in range(60)]
