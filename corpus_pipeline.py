@@ -7,16 +7,14 @@ what it reads back.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probeline.llm import contamination, line_dedup, ngram_join, packing, toxicity
-from probeline.llm.common import bucket_of, shared_folder, spill, table
+from probeline.llm.common import bucket_of, shared_path, spill, table
 from probeline.llm.queries import tokenizer_path
-from probeline.operators.positions import with_positions
 
 #: Documents that score as much or more are rejected.
 TOXIC = 0.7
@@ -40,16 +38,21 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: that of the smallest id (null ids last, of rows with equal ids, one)."""
-    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
-        # ids don't tell rows apart: numbers in the order of the ids do
-        once = docs.dropDuplicates(["doc_id", "text"]).withColumn("_at", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)))
-        rows = spill(with_positions(once, "_at", "_row").drop("_at"), "numbered")
-        kept = ngram_join.jaccard_components(rows.select("_row", "text"), id_col="_row").where("n_shingles = 0 or component_id = _row").select("_row")
-        return rows.join(kept, "_row", "left_semi").select(*docs.columns)
-    groups = spill(ngram_join.jaccard_components(docs.select("doc_id", "text")), "components")
-    kept = groups.where("n_shingles > 0 and component_id = doc_id or n_shingles = 0").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each component of near copies: that of the smallest id (null ids last; of rows with equal ids, that of the smallest hash of id and text).
+
+    Of rows equal in id and text one stays; texts without words are linked
+    with nothing and all stay, repeated or not.
+    """
+    own = F.xxhash64(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "text")
+    rows = docs.withColumn("_row", own)
+    groups = ngram_join.jaccard_components(rows.select("_row", "text"), id_col="_row").where("n_shingles > 0").distinct()
+    ids = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), "_row").alias("place")).distinct()
+    kept = groups.join(ids, "_row").groupBy("component_id").agg(F.min("place").alias("place")).select("place._row")
+    kept = spill(kept, "kept-rows")
+    # a blank text has a number of its own, so that repeated ones stay apart
+    blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    marked = rows.withColumn("_blank", F.when(blank, F.monotonically_increasing_id())).join(kept.withColumn("_kept", F.lit(True)), "_row", "left")
+    return marked.where(F.col("_kept") | F.col("_blank").isNotNull()).dropDuplicates(["_row", "_blank"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,7 +88,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_folder(spark)}/corpus-{name}-{uuid.uuid4().hex}"
+        path = shared_path(spark, f"corpus-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
