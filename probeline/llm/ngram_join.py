@@ -29,6 +29,8 @@ CHUNK, FREQUENT = 1_500_000, 2
 FREQUENT_MOST = 1 << 20
 #: Heads that a list has in each round, before what is still apart is joined in pairs; rounds after the first are for lists of more than WORTH times as many sets.
 HEADS, WORTH = (1, 32, 512), 4
+#: Sets in lists of more sets than this have a signature of so many words of 64 parities; it parts sets of up to some 2.2 times as many elements as it has bits.
+SIGNED, SIGN_WORDS = 16, 16
 #: Light sets have at most so many elements, whatever the costs.
 LIGHT_MOST = 256
 #: Cost of meeting one entry of an inverted list, in emitted keys.
@@ -235,6 +237,26 @@ def _sets(words_in: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
+_SIGNS_DDL = "sid long, sign array<long>"
+_SIGNS = pa.schema([("sid", pa.int64()), ("sign", pa.list_(pa.int64()))])
+
+
+def signature(elements: np.ndarray) -> np.ndarray:
+    """Whether each class of elements occurs an odd number of times, 64 classes a word; an element that only one of two sets has changes one bit at most."""
+    classes = (mix(elements + _U(5)) % _U(64 * SIGN_WORDS)).astype(np.int64)
+    return np.packbits((np.bincount(classes, minlength=64 * SIGN_WORDS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _signs(words_in: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = {set_id(x): x for x in shingle_sets(batch, "text", words_in)}
+                yield pa.RecordBatch.from_arrays([pa.array([*sets], pa.int64()), pa.array([signature(x).tolist() for x in sets.values()], pa.list_(pa.int64()))], schema=_SIGNS)
+
+    return run
+
+
 def _linked(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,6 +318,8 @@ def jaccard_links(docs: DataFrame, words_in: int = 5, percent: int = 80, id_col:
     Sets that are found linked are in one component from then on, and only pairs
     of different components are compared at last: so a group of near copies
     costs some times as many comparisons as it has members, not their square.
+    Sets in long lists have a signature, which lets only those meet that may link
+    by it; so unlike sets that share a passage cost few comparisons either.
     A pair meets only under keys at which, were they the first that both have,
     the rest of either set could still overlap enough.
     """
@@ -330,7 +354,7 @@ def jaccard_links(docs: DataFrame, words_in: int = 5, percent: int = 80, id_col:
     keys = rows.select("text").mapInArrow(_emit(order, words_in), _KEYS_DDL)
     sorted_keys = keys.repartition("key", "part").sortWithinPartitions("key", "part", "sid")
     lists = spill(sorted_keys.mapInArrow(_lists, _KEYS_DDL).drop("part"), "inverted-lists")
-    open_ = start = lists.withColumn("root", F.col("sid"))
+    start = lists.withColumn("root", F.col("sid"))
 
     def apart(p: str, q: str) -> Column:
         """Of different components, of sizes that may link, and with enough left behind the key."""
@@ -340,65 +364,120 @@ def jaccard_links(docs: DataFrame, words_in: int = 5, percent: int = 80, id_col:
             & (F.least(a("most"), b("most")) * (100 + percent) >= (a("n") + b("n")) * percent)
         )
 
-    links = tested = None
-    rounds = []
-    pair = [F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")]
-    for turn, picks in enumerate([*HEADS, None]):
-        if picks:
-            lists_now = open_.groupBy("key").agg(F.count("*").alias("length"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-            if turn and (lists_now.agg(F.max("length")).first()[0] or 0) <= WORTH * picks:
-                continue
-            chance = F.pmod(F.xxhash64("sid", F.lit(turn)), F.lit(1 << 31))
-            if turn == 0:
-                # the set with the fewest rarer elements before the key
-                row = F.struct((F.col("most") - F.col("n")).alias("place"), chance.alias("chance"), "sid", "n", "most", "root")
-                heads = open_.groupBy("key").agg(F.max(row).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "h.*")
-            else:
-                # about `picks` sets of each list, by chance, but the same in many lists
-                heads = open_.join(lists_now.select("key", "length"), "key").where(chance * F.col("length") < picks * (1 << 31))
-            met = open_.alias("p").join(heads.alias("q"), (F.col("p.key") == F.col("q.key")) & apart("p", "q"))
-            votes = met.groupBy(F.col("p.sid").alias("sid"), F.col("q.sid").alias("other")).agg(F.count("*").alias("votes")).select("sid", "votes", "other", *pair)
-            if tested is not None:
-                votes = votes.join(tested, ["a", "b"], "left_anti")
-            best = F.slice(F.sort_array(F.collect_list(F.struct("votes", "a", "b")), asc=False), 1, picks)
-            pairs = votes.groupBy("sid").agg(best.alias("best")).select(F.explode("best").alias("x")).select("x.a", "x.b").distinct()
-        else:
-            met = open_.alias("p").join(open_.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.sid") < F.col("q.sid")) & apart("p", "q"))
-            pairs = met.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")).distinct()
-            pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+    def like(p: str, q: str) -> Column:
+        """Signatures don't differ by more than the elements that one of two linked sets lacks."""
+        bits = [F.bit_count(F.col(f"{p}.sign")[i].bitwiseXOR(F.col(f"{q}.sign")[i])) for i in range(SIGN_WORDS)]
+        return sum(bits[1:], bits[0]) * (100 + percent) <= (F.col(f"{p}.n") + F.col(f"{q}.n")) * (100 - percent)
+
+    links = tested = roots = None
+    made: list[DataFrame] = []
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+
+    def compare(pairs: DataFrame) -> bool:
+        """Adds the links among the pairs; whether there were any pairs."""
+        nonlocal links, tested
         pairs = spill(pairs, "pairs")
-        rounds.append(pairs)
+        made.append(pairs)
         if pairs.isEmpty():
-            continue
+            return False
         found = _verify(rows, reps, pairs, words_in, percent)
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if picks:
-            # not settled in so few turns, but what has one root is in one component
-            roots = components(links, turns=1)
-            placed = open_.drop("root").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-            placed = spill(placed, "placed-lists")
-            split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-            left = spill(placed.join(split, "key", "left_semi"), "open-lists")
-            release(roots, placed, *([] if open_ is start else [open_]))
-            open_ = left
-    release(lists, *([] if open_ is start else [open_]), *rounds)
+        return True
+
+    def place(lists: DataFrame) -> DataFrame:
+        return lists.drop("root").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+
+    def ends(lists: DataFrame) -> DataFrame:
+        """The lists that have several roots."""
+        return lists.groupBy("key").agg(F.count("*").alias("length"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+
+    def regroup(lists: DataFrame) -> DataFrame:
+        """What is left of the lists under the links so far."""
+        nonlocal roots
+        if roots is not None:
+            release(roots)
+        # not settled in so few turns, but what has one root is in one component
+        roots = components(links, turns=1)
+        placed = spill(place(lists), "placed-lists")
+        left = spill(placed.join(ends(placed).select("key"), "key", "left_semi"), "open-lists")
+        release(placed)
+        made.append(left)
+        return left
+
+    def vote(lists: DataFrame, heads: DataFrame, picks: int, met: Column) -> DataFrame:
+        """Each set with the heads that it meets most often."""
+        pair = [F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")]
+        both = lists.alias("p").join(heads.alias("q"), (F.col("p.key") == F.col("q.key")) & met)
+        votes = both.groupBy(F.col("p.sid").alias("sid"), F.col("q.sid").alias("other")).agg(F.count("*").alias("votes")).select("sid", "votes", "other", *pair)
+        best = F.slice(F.sort_array(F.collect_list(F.struct("votes", "a", "b")), asc=False), 1, picks)
+        return untested(votes).groupBy("sid").agg(best.alias("best")).select(F.explode("best").alias("x")).select("x.a", "x.b").distinct()
+
+    def chance(turn: int) -> Column:
+        return F.pmod(F.xxhash64("sid", F.lit(turn)), F.lit(1 << 31))
+
+    # the set with the fewest rarer elements before the key
+    row = F.struct((F.col("most") - F.col("n")).alias("place"), chance(0).alias("chance"), "sid", "n", "most", "root")
+    heads = start.groupBy("key").agg(F.max(row).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "h.*")
+    open_ = regroup(start) if compare(vote(start, heads, HEADS[0], apart("p", "q"))) else start
+    placed_by = roots
+
+    # most of the many sets of a longer list share a passage only, which their signatures show
+    short, long_lists = [open_], []
+    lengths = spill(ends(open_).where(F.col("length") > SIGNED).select("key", "length"), "long-keys")
+    made.append(lengths)
+    if not lengths.isEmpty():
+        short = [open_.join(lengths, "key", "left_anti")]
+        open_ = open_.join(lengths.select("key"), "key", "left_semi")
+        signs = _of_sets(rows, reps, open_.select("sid").distinct(), _signs(words_in), _SIGNS_DDL).dropDuplicates(["sid"])
+        open_ = spill(open_.join(signs, "sid"), "long-lists")
+        made.append(open_)
+        for turn, picks in enumerate(HEADS[1:], 1):
+            longest = spill(ends(open_).where(F.col("length") > WORTH * picks).select("key", "length"), "long-keys")
+            made.append(longest)
+            if longest.isEmpty():
+                break
+            long_lists.append(open_.join(longest, "key", "left_anti"))
+            open_ = open_.join(longest.select("key"), "key", "left_semi")
+            # about `picks` sets of each list, by chance, but the same in many lists
+            heads = open_.join(longest, "key").where(chance(turn) * F.col("length") < picks * (1 << 31))
+            if compare(vote(open_, heads, picks, apart("p", "q") & like("p", "q"))):
+                open_ = regroup(open_)
+        long_lists.append(open_)
+
+    pairs = None
+    for parts, met in ((short, apart("p", "q")), (long_lists, apart("p", "q") & like("p", "q"))):
+        for part in parts:
+            part = part if roots is placed_by else place(part)
+            both = part.alias("p").join(part.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.sid") < F.col("q.sid")) & met)
+            both = both.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b"))
+            pairs = both if pairs is None else pairs.unionByName(both)
+    compare(untested(pairs.distinct()))
+    release(lists, *made, *([] if roots is None else [roots]))
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
     return JaccardJoin(documents, reps, links, light)
 
 
-def _verify(rows: DataFrame, reps: DataFrame, pairs: DataFrame, words_in: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link, by their whole sets."""
-    sids = spill(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "pair-ids")
+def _of_sets(rows: DataFrame, reps: DataFrame, sids: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    """What run, which gets texts, says of the sets sids; a set may come more than once."""
+    sids = spill(sids, "pair-ids")
     few = sids.count() <= BROADCAST_IDS
     wanted = reps.join(F.broadcast(sids) if few else sids, "sid").select("doc").distinct()
     texts = rows.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(words_in), "sid long, elements binary")
-    sets = spill(sets.join(F.broadcast(sids) if few else sids, "sid", "left_semi"), "pair-sets")
+    out = spill(texts.mapInArrow(run, ddl).join(F.broadcast(sids) if few else sids, "sid", "left_semi"), "pair-sets")
+    release(sids)
+    return out
+
+
+def _verify(rows: DataFrame, reps: DataFrame, pairs: DataFrame, words_in: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that link, by their whole sets."""
+    sets = _of_sets(rows, reps, pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), _sets(words_in), "sid long, elements binary")
     both = pairs.join(sets.toDF("a", "elements_a"), "a").join(sets.toDF("b", "elements_b"), "b").select("a", "b", "elements_a", "elements_b")
     out = spill(both.mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
-    release(sids, sets)
+    release(sets)
     return out
 
 

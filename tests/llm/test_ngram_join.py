@@ -111,3 +111,46 @@ def test_only_what_a_result_reads_is_left(spark):
     ngram_join.jaccard_components(df).collect()
     left = sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before)
     assert set(left) <= {"shingle-sets", "set-reps", "links", "components"} and left.count("components") == 1
+
+
+def common_passages(sets, copies):
+    rng = random.Random(17)
+    passages = [" ".join(f"p{i}x{j}" for j in range(12)) for i in range(12)]
+    docs = [(i, " ".join(passages[k] for k in sorted(rng.sample(range(12), 6)))) for i in range(sets)]
+    return docs + [(1000 + i, t + " and more") for i, t in docs[:copies]]
+
+
+def test_unlike_sets_of_common_passages_are_few_pairs(spark, monkeypatch):
+    docs = common_passages(300, 60)
+    kept, spill = [], ngram_join.spill
+
+    def counting(df, name):
+        out = spill(df, name)
+        if name == "pairs":
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "spill", counting)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert result(ngram_join.jaccard_components(df)) == plain(docs)
+    assert sum(kept) < 6 * len(docs), kept
+
+
+@pytest.mark.parametrize("worth", [0, 2])
+def test_signed_lists_give_the_same(spark, monkeypatch, worth):
+    monkeypatch.setattr(ngram_join, "HEADS", (1, 2, 5))
+    monkeypatch.setattr(ngram_join, "WORTH", worth)
+    monkeypatch.setattr(ngram_join, "SIGNED", 1 + worth)
+    docs = near_copies(23 + worth)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert result(ngram_join.jaccard_components(df)) == plain(docs)
+
+
+@pytest.mark.parametrize("n", [0, 1, 50, 3000])
+def test_signatures_differ_by_no_more_than_the_sets(n):
+    rng = random.Random(n)
+    both = [rng.getrandbits(64) for _ in range(n)]
+    for k in (0, 1, 7, 40):
+        a, b = ({*both, *(rng.getrandbits(64) for _ in range(k))} for _ in range(2))
+        x, y = (ngram_join.signature(ngram_join.np.array(sorted(s), ngram_join.np.uint64)) for s in (a, b))
+        assert len(x) == ngram_join.SIGN_WORDS and sum(int(z).bit_count() for z in (x ^ y).view(ngram_join.np.uint64)) <= len(a ^ b)
