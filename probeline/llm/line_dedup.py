@@ -33,16 +33,18 @@ MIN_WORDS = 8
 WORDS_PER_EDIT = 32
 
 
-def segments(length: Column, threshold: int) -> list[tuple[Column, Column]]:
-    """(start from 0, length) of each segment of a line; the last ones are longer by one where it doesn't divide."""
+def segment(length: Column, threshold: int, i: Column) -> tuple[Column, Column]:
+    """(start from 0, length) of segment i of a line; the last ones are longer by one where it doesn't divide."""
     parts = threshold + 1
     longer = F.pmod(length, F.lit(parts)).cast("int")
     short = F.call_function("div", length - longer, F.lit(parts)).cast("int")
-    out = []
-    for i in range(parts):
-        before = F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - longer))
-        out.append((F.lit(i) * short + before, short + (F.lit(i) >= F.lit(parts) - longer).cast("int")))
-    return out
+    before = F.greatest(F.lit(0), i - (F.lit(parts) - longer))
+    return i * short + before, short + (i >= F.lit(parts) - longer).cast("int")
+
+
+def segments(length: Column, threshold: int) -> list[tuple[Column, Column]]:
+    """(start from 0, length) of each segment of a line."""
+    return [segment(length, threshold, F.lit(i)) for i in range(threshold + 1)]
 
 
 def _wide(line: Column) -> Column:
@@ -50,16 +52,16 @@ def _wide(line: Column) -> Column:
     return F.encode(F.make_valid_utf8(line), "UTF-32")
 
 
-def _key(wide: Column, length: Column, i: int | Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, i if isinstance(i, Column) else F.lit(i), F.substring(wide, 4 * start + 1, 4 * size))
+def _key(wide: Column, length: Column, i: Column, start: Column, size: Column) -> Column:
+    return F.xxhash64(length, i, F.substring(wide, 4 * start + 1, 4 * size))
 
 
 def _index_keys(wide: Column, length: Column, threshold: int) -> list[Column]:
-    return [_key(wide, length, i, start, size) for i, (start, size) in enumerate(segments(length, threshold))]
+    return [_key(wide, length, F.lit(i), start, size) for i, (start, size) in enumerate(segments(length, threshold))]
 
 
-def _probe_keys(wide: Column, length: Column, threshold: int) -> list[Column]:
-    """The key of each substring that may be a segment of a line as long or up to `threshold` shorter.
+def _probes(threshold: int) -> Column:
+    """(less, i, move) of each substring that may be a segment of a line as long or up to `threshold` shorter.
 
     With segment i (from 0) matched, at most i edits lie before it if it is
     the first that matches and at most threshold - i after it if it is the
@@ -67,11 +69,21 @@ def _probe_keys(wide: Column, length: Column, threshold: int) -> list[Column]:
     """
     out = []
     for less in range(threshold + 1):
-        partner = length - less
-        for i, (start, size) in enumerate(segments(partner, threshold)):
+        for i in range(threshold + 1):
             lo, hi = max(-i, less - (threshold - i)), min(i, less + threshold - i)
-            out += [_key(wide, partner, i, start + move, size) for move in range(lo, hi + 1)]
-    return out
+            out += [F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(move).alias("move")) for move in range(lo, hi + 1)]
+    return F.array(*out)
+
+
+def _probe_key(wide: Column, length: Column, threshold: int, probe: str) -> Column:
+    """The key of one of the probes.
+
+    All keys in one expression would be a method too long for the JVM's
+    compiler (over 8,000 bytes), so a row a probe comes first.
+    """
+    less, i, move = (F.col(f"{probe}.{x}") for x in ("less", "i", "move"))
+    start, size = segment(length - less, threshold, i)
+    return _key(wide, length - less, i, start + move, size)
 
 
 def _let(value: Column, body) -> Column:
@@ -194,7 +206,7 @@ def near_lines(lines: DataFrame, threshold: int, hot: int = HOT, crowded: int =
     wide, length = F.col("wide"), F.col("length")
     keyed = lines.select("id", "length", _wide(F.col("line")).alias("wide"))
     index = keyed.select(F.col("id").alias("a"), "length", F.posexplode(F.array(*_index_keys(wide, length, threshold))).alias("part", "key"))
-    probe = keyed.select(F.col("id").alias("b"), F.explode(F.array(*_probe_keys(wide, length, threshold))).alias("key"))
+    probe = keyed.select("id", "length", "wide", F.explode(_probes(threshold)).alias("probe")).select(F.col("id").alias("b"), _probe_key(wide, length, threshold, "probe").alias("key"))
     by_key = Window.partitionBy("key")
     counted = index.withColumn("n", F.count("*").over(by_key)).withColumn("one", F.min("a").over(by_key))
     # a key has `hot` rows at most here, so the hash tables are even
@@ -266,22 +278,28 @@ def replaced_lines(lines: DataFrame, per_edit: int) -> DataFrame:
     by signs (parities of classes of words with their places, two of which a
     replaced word changes), and each only until one is found.
     """
-    split = F.split("line", " ")
-    sized = lines.select("id", "first", split.alias("words")).where(F.size("words") >= MIN_WORDS)
-    sized = sized.withColumn("n", F.size("words")).withColumn("edits", F.greatest(F.lit(1), F.call_function("div", F.col("n"), F.lit(per_edit))).cast("int"))
+    line = F.col("line")
+    # counted without a split, which would be made once more for the filter
+    n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+    def sized(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("n", n)
+        return rows.where(F.col("n") >= MIN_WORDS).withColumn("words", F.split("line", " ")).withColumn("edits", F.greatest(F.lit(1), F.call_function("div", F.col("n"), F.lit(per_edit))).cast("int"))
 
     def key(i: Column) -> Column:
         start, end = (F.call_function("div", (i + F.lit(k)) * F.col("n"), F.col("edits") + 1).cast("int") for k in (0, 1))
         return F.xxhash64(F.col("n"), i, F.slice("words", start + 1, end - start))
 
-    keys = sized.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.col("edits")), key)).alias("key"))
+    keys = sized(lines.select("id", "line")).select("id", F.explode(F.transform(F.sequence(F.lit(0), F.col("edits")), key)).alias("key"))
     shared = spill(keys.withColumn("lines", F.count("*").over(Window.partitionBy("key"))).where("lines > 1").select("key", "id"), "met-words")
 
     def flip(s: Column, x: Column) -> Column:
         return s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int")))
 
     sign = F.aggregate(F.transform("words", lambda w, i: F.xxhash64(i, w)), F.lit(0).cast("long"), flip)
-    met = spill(shared.join(sized, "id").select("key", "id", "first", "words", "n", "edits", sign.alias("sign")), "word-signs")
+    # only the lines that share a part are split again
+    met = sized(shared.join(lines.select("id", "first", "line"), "id")).select("key", "id", "first", "words", "n", "edits", sign.alias("sign"))
+    met = spill(met, "word-signs")
     apart = F.bit_count(F.col("p.sign").bitwiseXOR(F.col("q.sign")))
     replaced = F.size(F.filter(F.zip_with("p.words", "q.words", lambda x, y: x != y), lambda d: d))
     like = (F.col("p.key") == F.col("q.key")) & (F.col("p.n") == F.col("q.n")) & (F.col("p.first") > F.col("q.first")) & (apart <= 2 * F.col("p.edits")) & (replaced <= F.col("p.edits"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +162,28 @@ def test_replaced_words(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
     got = line_dedup.dedup_lines(df, words_per_edit=line_dedup.WORDS_PER_EDIT).where("n_near > 0").collect()
     assert {r.doc_id for r in got} == want and len(want) >= 20
+
+
+def test_probe_keys_are_one_compiled_method(spark, small):
+    """The JVM interprets methods of over 8,000 bytes, which took most of the time of the keys."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    lines = docs.select(F.col("text").alias("line"), F.char_length("text").alias("length"))
+    probes = lines.select("length", line_dedup._wide(F.col("line")).alias("wide"), F.explode(line_dedup._probes(2)).alias("probe"))
+    keys = probes.select(line_dedup._probe_key(F.col("wide"), F.col("length"), 2, "probe").alias("key"))
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(keys._jdf.queryExecution().executedPlan()))
+    assert sizes and max(map(int, sizes)) < 8000 and keys.count() == 12 * docs.count()
+
+
+@pytest.mark.parametrize("threshold", [1, 2, 3])
+def test_probes_are_the_places_that_edits_allow(spark, threshold):
+    probes = {tuple(x) for x in spark.range(1).select(F.explode(line_dedup._probes(threshold)).alias("p")).select("p.*").collect()}
+    want = {(less, i, move) for less in range(threshold + 1) for i in range(threshold + 1) for move in range(-threshold, threshold + 1)
+            if abs(move) <= i and abs(less - move) <= threshold - i}
+    assert probes == want
+    # each segment of a line is one of the substrings that it probes
+    line = "0123456789abcdefghijk\u00e9\U0001f600z"
+    df = spark.createDataFrame([(line, len(line))], "line string, length int").withColumn("wide", line_dedup._wide(F.col("line")))
+    own = {x for (x,) in df.select(F.explode(F.array(*line_dedup._index_keys(F.col("wide"), F.col("length"), threshold)))).collect()}
+    found = df.select("wide", "length", F.explode(line_dedup._probes(threshold)).alias("p")).select(line_dedup._probe_key(F.col("wide"), F.col("length"), threshold, "p"))
+    assert own <= {x for (x,) in found.collect()}
