@@ -1,5 +1,7 @@
 """The pipeline's stages, each on its own input, against brute force."""
 
+from collections import Counter
+
 import corpus_pipeline
 from tests.llm import test_line_dedup, test_ngram_join, test_simple_ops
 
@@ -66,3 +68,35 @@ def test_one_of_near_copies_stays_without_unique_ids(spark, small):
     assert len(got) == 5 and {(9, c), (None, other[0]), (11, None), (12, None)} <= set(got) and len([1 for i, _ in got if i == 5]) == 1
     nulls = spark.createDataFrame([(None, a), (None, b)], "doc_id long, text string")
     assert STAGES["ngram_jaccard"](spark, nulls, small).count() == 1
+
+
+def whole_rule(docs):
+    """Texts after line dedup: copies of any length that aren't short and blank, lines within 2 edits, and replaced words."""
+    first = {}
+    for doc, text in sorted(docs):
+        for no, line in enumerate(text.split("\n")):
+            if len(line) >= 20 or line.strip():
+                first.setdefault(line, (doc, no))
+    long = sorted((x for x in first if len(x) >= 20), key=len)
+    counts, words = {x: Counter(x) for x in long}, {x: x.split(" ") for x in long}
+    later = set()
+    for i, a in enumerate(long):
+        for b in long[i + 1 :]:
+            near = len(b) - len(a) <= 2 and (counts[b] - counts[a]).total() <= 2 and test_line_dedup.distance(a, b) <= 2
+            n = len(words[a])
+            replaced = n == len(words[b]) >= 8 and sum(x != y for x, y in zip(words[a], words[b], strict=True)) <= max(1, n // 32)
+            if near or replaced:
+                later.add(max(a, b, key=first.get))
+    out = set()
+    for doc, text in docs:
+        stay = [x for no, x in enumerate(text.split("\n")) if x not in first or (first[x] == (doc, no) and x not in later)]
+        if "\n".join(stay).strip() or "\n".join(stay) == text:
+            out.add((doc, "\n".join(stay)))
+    return out
+
+
+def test_line_dedup_takes_short_copies_and_replaced_words(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = texts(docs)
+    got = texts(STAGES["line_dedup"](spark, docs, small))
+    assert len(got) == len({d for d, _ in got}) and set(got) == whole_rule([(d, t or "") for d, t in rows])
