@@ -8,6 +8,8 @@ from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZTy
 
 #: A build side is broadcast up to this many rows and bytes of values; a larger one is shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 1 << 22, 1 << 28
+#: Rows of both results that one task compares, and copies of a row that are made at once.
+DIFFERENCE_ROWS, COPIES = 1 << 18, 1 << 12
 
 
 def _bytes(df: DataFrame) -> Column:
@@ -60,6 +62,19 @@ def sum_of_matches(lookups: DataFrame, indexed: DataFrame) -> DataFrame:
     return scatter_keys(lookups, indexed).agg(F.coalesce(F.sum("key"), F.lit(0)).alias("key_sum"), F.count("*").alias("n"))
 
 
-def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that one result has more often than the other, with the side that has them."""
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+def difference(a: DataFrame, b: DataFrame, rows: int | None = None) -> DataFrame:
+    """Rows that one result has more often than the other, with the side that has them.
+
+    rows: how many both have together; without it they are counted, and so read
+    once more.  It only sets the number of tasks: each gets about DIFFERENCE_ROWS
+    rows, dealt by a hash of the whole row before anything is grouped, so that
+    the memory in which they are compared doesn't grow with the results.
+    """
+    rows = a.count() + b.count() if rows is None else rows
+    names = [f"c{i}" for i in range(len(a.columns))]
+    both = a.toDF(*names).withColumn("n", F.lit(1)).union(b.toDF(*names).withColumn("n", F.lit(-1)))
+    dealt = both.repartition(max(1, -(-rows // DIFFERENCE_ROWS)), *names)
+    left = dealt.groupBy(*names).agg(F.sum("n").alias("n")).where("n != 0").withColumn("side", F.when(F.col("n") > 0, "left").otherwise("right"))
+    firsts = left.withColumn("n", F.abs("n")).withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), "n", F.lit(COPIES).cast("long"))))
+    copies = firsts.select(*names, "side", F.explode(F.sequence("first", F.least("n", F.col("first") + COPIES - 1))))
+    return copies.select(*names, "side").toDF(*a.columns, "side")

@@ -204,9 +204,17 @@ _add("positions_part", lambda s, d: with_positions(_indexed(s, d), "key"), f"SEL
 _add("exclusive_prefix_sum", lambda s, d: exclusive_prefix(relation(s, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n")), "c_nationkey", "n"),
      'SELECT c_nationkey, n, CAST(coalesce(sum(n) OVER (ORDER BY c_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1)')
 _add("distinct_partkeys", lambda s, d: relation(s, d, "lineitem").select("l_partkey").distinct(), "SELECT DISTINCT l_partkey FROM lineitem")
-_add("join_result_diff", lambda s, d: joins.difference(lookup(_probes(s, d), _indexed(s, d), "btree", "plain", "exact"), lookup(_probes(s, d), _indexed(s, d), "radix_spline", "bws", "exact")),
+
+
+def _difference(spark: SparkSession, d: str, *plans: tuple[str, str, str]) -> DataFrame:
+    """Two lookups of the same probes, each a row a probe, compared."""
+    a, b = (lookup(_probes(spark, d), _indexed(spark, d), *plan) for plan in plans)
+    return joins.difference(a, b, 2 * relation(spark, d, "orders").count())
+
+
+_add("join_result_diff", lambda s, d: _difference(s, d, ("btree", "plain", "exact"), ("radix_spline", "bws", "exact")),
      f"SELECT probe_id, key, pos, 'left' AS side FROM ({_EXACT}) WHERE false")
-_add("join_result_diff_semantics", lambda s, d: joins.difference(lookup(_probes(s, d), _indexed(s, d), "btree", "plain", "exact"), lookup(_probes(s, d), _indexed(s, d), "btree", "plain", "ceiling")),
+_add("join_result_diff_semantics", lambda s, d: _difference(s, d, ("btree", "plain", "exact"), ("btree", "plain", "ceiling")),
      f"SELECT *, 'left' AS side FROM (({_EXACT}) EXCEPT ALL ({_CEILING})) UNION ALL SELECT *, 'right' AS side FROM (({_CEILING}) EXCEPT ALL ({_EXACT}))")
 
 # ------------------------------------------------------------------- scalars

@@ -1,5 +1,6 @@
 """Queries against DuckDB, plan shapes, lookups with misses, sources and generators."""
 
+import collections
 import decimal
 import itertools
 import time
@@ -146,6 +147,35 @@ def test_join_difference(spark):
     assert sorted(map(tuple, joins.difference(a, b).collect())) == [(0, "left"), (5, "right")]
 
 
+def test_join_difference_in_bounded_tasks(spark, monkeypatch):
+    """More rows give more tasks, not larger ones, whatever the session's shuffle partitions; either side is read once."""
+    monkeypatch.setattr(joins, "DIFFERENCE_ROWS", 500, raising=False)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    a, b = (spark.range(x, x + 8000, 1, 2).mapInArrow(counted, "id long") for x in (0, 8000))
+    left = joins.difference(a, b, 16000)
+    tasks = left.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r[1] for r in tasks) == 16000 and max(r[1] for r in tasks) <= 750
+    assert read.value == 16000
+
+
+def test_join_difference_counts_copies(spark, monkeypatch):
+    """As EXCEPT ALL both ways: nulls are equal, copies count, and many copies don't need one long array."""
+    monkeypatch.setattr(joins, "COPIES", 7, raising=False)
+    sides = [[(1, None)] * 30 + [(None, "x")] * 2 + [(2, "y")], [(1, None)] * 9 + [(None, "x")] * 23 + [(2, "y"), (3, "")]]
+    a, b = (spark.createDataFrame(rows, "`n` long, `c0.1` string") for rows in sides)
+    for rows in (None, 66):
+        found = joins.difference(a, b, rows)
+        assert found.columns == ["n", "c0.1", "side"]
+        assert collections.Counter(map(tuple, found.collect())) == {(1, None, "left"): 21, (None, "x", "right"): 21, (3, "", "right"): 1}
+    assert joins.difference(a, a).count() == 0 and joins.difference(a.limit(0), b.limit(0)).count() == 0
+
+
 # ------------------------------------------------------------------ sources
 
 
